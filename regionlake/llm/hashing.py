@@ -102,24 +102,26 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def sliding_min(g: np.ndarray, w: int) -> np.ndarray:
+def sliding(least: np.ufunc, g: np.ndarray, w: int) -> np.ndarray:
+    """np.minimum or np.maximum of every w consecutive values."""
     size = 1
     while size * 2 <= w:
-        g = np.minimum(g[:-size], g[size:])
+        g = least(g[:-size], g[size:])
         size *= 2
     if size < w:
-        g = np.minimum(g[: len(g) - (w - size)], g[w - size :])
+        g = least(g[: len(g) - (w - size)], g[w - size :])
     return g
 
 
-def territories(values: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def territories(values: np.ndarray, offs: np.ndarray, window: int, gram: int, periodic: bool = False) -> tuple[np.ndarray, ...]:
     """Splits the starts of all windows into runs that share the least hash of a gram inside.
 
     Equal windows have the same least hash, wherever they stand, so it suffices to compare windows
     whose runs have the same key. Returns key, content hash, first start and number of starts of each
-    run, in order. A run's content is its starts and the window - 1 values that follow.
+    run, in order, and with periodic, whether the run may hold equal windows itself (its least gram
+    occurs twice). A run's content is its starts and the window - 1 values that follow.
     """
-    keys, contents, firsts, counts = [], [], [], []
+    keys, contents, firsts, counts, inners = [], [], [], [], []
     total = len(values)
     w = window - gram + 1
     for a in range(0, max(0, total - window + 1), CHUNK):
@@ -128,7 +130,7 @@ def territories(values: np.ndarray, offs: np.ndarray, window: int, gram: int) ->
         p = prefix(x)
         inv = powers(len(p))[1]
         g = mix((p[gram:] - p[:-gram]) * inv[: len(x) - gram + 1])
-        m = sliding_min(g, w)
+        m = sliding(np.minimum, g, w)
         i, j = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b, "left")
         lo = np.clip(offs[i:j] - a, 0, b - a)
         hi = np.maximum(lo, np.clip(offs[i + 1 : j + 1] - window + 1 - a, 0, b - a))
@@ -145,7 +147,16 @@ def territories(values: np.ndarray, offs: np.ndarray, window: int, gram: int) ->
         contents.append(mix((p[e + window - 1] - p[s]) * inv[s] + (e - s).astype(np.uint64)))
         firsts.append(s + a)
         counts.append(e - s)
+        if periodic:
+            # grams that are least in a window; those of one run with the same hash are next to each other
+            pad = np.zeros(w - 1, np.uint64)
+            least = np.flatnonzero(g == sliding(np.maximum, np.concatenate([pad, m, pad]), w))
+            twice = np.concatenate([[0], np.cumsum(g[least][1:] == g[least][:-1])])
+            lo, hi = np.searchsorted(least, s), np.searchsorted(least, e - 1 + w) - 1
+            inners.append(twice[np.minimum(np.maximum(hi, lo), len(twice) - 1)] > twice[np.minimum(lo, len(twice) - 1)])
+        else:
+            inners.append(np.zeros(len(s), bool))
     if not keys:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z
-    return np.concatenate(keys), np.concatenate(contents), np.concatenate(firsts), np.concatenate(counts)
+        return z.astype(np.uint64), z.astype(np.uint64), z, z, z.astype(bool)
+    return tuple(np.concatenate(x) for x in (keys, contents, firsts, counts, inners))

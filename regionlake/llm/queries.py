@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, suffix_array, suffix_tree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +15,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": lambda s, d: decontaminate.op1(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op5_suffix_array": lambda s, d: suffix_array.op5(table(s, d, "documents")),
+        "op7_suffix_tree": lambda s, d: suffix_tree.op7(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE,
+        "op5_suffix_array": suffix_array.ORACLE,
+        "op7_suffix_tree": suffix_tree.ORACLE,
+    }
