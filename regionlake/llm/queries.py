@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, suffix_array, suffix_tree, tokens, toxicity
+from . import decontaminate, html_text, mixing, suffix_array, suffix_tree, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": lambda s, d: decontaminate.op1(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op3_html_text": lambda s, d: html_text.op3(table(s, d, "pages")),
         "op5_suffix_array": lambda s, d: suffix_array.op5(table(s, d, "documents")),
+        "op6_mixing": lambda s, d: mixing.op6(table(s, d, "documents")),
         "op7_suffix_tree": lambda s, d: suffix_tree.op7(table(s, d, "documents")),
         "op8_token_counts": lambda s, d: tokens.op8(table(s, d, "documents")),
         "op10_toxicity": lambda s, d: toxicity.op10(table(s, d, "documents"), table(s, d, "labels")),

@@ -24,7 +24,7 @@ from . import common
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a worker, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Characters of a text held as words at a time.
 PIECE = 1 << 20
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
