@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, mixing, suffix_array, suffix_tree, tokens, toxicity
+from . import dartminhash, decontaminate, html_text, mixing, suffix_array, suffix_tree, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op6_mixing": lambda s, d: mixing.op6(table(s, d, "documents")),
         "op7_suffix_tree": lambda s, d: suffix_tree.op7(table(s, d, "documents")),
         "op8_token_counts": lambda s, d: tokens.op8(table(s, d, "documents")),
+        "op9_dartminhash": lambda s, d: dartminhash.op9(table(s, d, "documents")),
         "op10_toxicity": lambda s, d: toxicity.op10(table(s, d, "documents"), table(s, d, "labels")),
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op5_suffix_array": suffix_array.ORACLE,
         "op7_suffix_tree": suffix_tree.ORACLE,
+        "op9_dartminhash": dartminhash.ORACLE,
     }
