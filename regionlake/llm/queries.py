@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, decontaminate, html_text, mixing, suffix_array, suffix_tree, tokens, toxicity
+from . import dartminhash, decontaminate, html_text, mixing, suffix_array, suffix_tree, tokens, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": lambda s, d: decontaminate.op1(table(s, d, "documents"), table(s, d, "benchmark")),
         "op3_html_text": lambda s, d: html_text.op3(table(s, d, "pages")),
+        "op4_warc": lambda s, d: warc.op4(table(s, d, "pages")),
         "op5_suffix_array": lambda s, d: suffix_array.op5(table(s, d, "documents")),
         "op6_mixing": lambda s, d: mixing.op6(table(s, d, "documents")),
         "op7_suffix_tree": lambda s, d: suffix_tree.op7(table(s, d, "documents")),
@@ -28,6 +29,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
+        "op4_warc": warc.ORACLE,
         "op5_suffix_array": suffix_array.ORACLE,
         "op7_suffix_tree": suffix_tree.ORACLE,
         "op9_dartminhash": dartminhash.ORACLE,
