@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, decontaminate, html_text, mixing, suffix_array, suffix_tree, tokens, toxicity, warc
+from . import dartminhash, decontaminate, html_text, mixing, pq, suffix_array, suffix_tree, tokens, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": lambda s, d: decontaminate.op1(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op2_pq": lambda s, d: pq.op2(table(s, d, "embeddings")),
         "op3_html_text": lambda s, d: html_text.op3(table(s, d, "pages")),
         "op4_warc": lambda s, d: warc.op4(table(s, d, "pages")),
         "op5_suffix_array": lambda s, d: suffix_array.op5(table(s, d, "documents")),
@@ -29,6 +30,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
+        "op2_pq": pq.ORACLE,
         "op4_warc": warc.ORACLE,
         "op5_suffix_array": suffix_array.ORACLE,
         "op7_suffix_tree": suffix_tree.ORACLE,
