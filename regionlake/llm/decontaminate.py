@@ -6,15 +6,17 @@ and every occurrence is mapped back to words and to code points of the original
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
+from .hashing import word_spans
 
 #: Word characters are [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z is lowered.
 NORMAL = bytes(
@@ -87,8 +89,6 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     """Runs of hit words as code point bounds in the original text."""
     data = np.frombuffer(text, np.uint8)
     sep = np.frombuffer(NORMAL, np.uint8) == 32
-    from .hashing import word_spans
-
     starts, ends, _ = word_spans(data, np.array([0, len(data)], np.int64), sep)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -96,7 +96,26 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"begin": int(points[starts[a]]), "end": int(points[ends[b]])} for a, b in zip(first, stop, strict=True)]
 
 
-_built: dict[int, tuple] = {}
+_built: dict[str, tuple] = {}
+
+
+def _gathered(items: DataFrame) -> list[tuple[int, bytes]]:
+    rows, size = [], 0
+    for r in common.slim(items, "item_id", "text").toLocalIterator():
+        text = (r["text"] or "").encode()
+        size += len(text)
+        if size > MAX_BENCHMARK_BYTES:
+            raise ValueError(f"the benchmark exceeds {MAX_BENCHMARK_BYTES} bytes")
+        rows.append((common.NULL_ID if r["item_id"] is None else r["item_id"], text))
+    return rows
+
+
+def _automaton(name: str, shared, n: int) -> tuple:
+    """Built once in a worker for each call on the driver, which has the name."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = build(shared.value, n)
+    return _built[name]
 
 
 def occurrences(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
@@ -109,21 +128,10 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     common.ship(spark)
-    rows, size = [], 0
-    for r in common.slim(items, "item_id", "text").toLocalIterator():
-        text = (r["text"] or "").encode()
-        size += len(text)
-        if size > MAX_BENCHMARK_BYTES:
-            raise ValueError(f"the benchmark exceeds {MAX_BENCHMARK_BYTES} bytes")
-        rows.append((common.NULL_ID if r["item_id"] is None else r["item_id"], text))
-    shared = spark.sparkContext.broadcast(rows)
+    shared, name = spark.sparkContext.broadcast(_gathered(items)), uuid.uuid4().hex  # of checked size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id if hasattr(shared, "id") else id(shared)
-        if key not in _built:
-            _built.clear()
-            _built[key] = build(shared.value, n)
-        automaton, values = _built[key]
+        automaton, values = _automaton(name, shared, n)
         for batch in batches:
             data, offs = common.flat(batch.column(1))
             raw = data.tobytes()
@@ -145,21 +153,21 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The documents without any occurrence, with the columns of docs."""
     spark = docs.sparkSession
-    found = occurrences(docs, items, n)
-    from pyspark.sql import functions as F
-
-    dirty = found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_dirty")).distinct()
-    del spark
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti")
+    common.ship(spark)
+    shared, name = spark.sparkContext.broadcast(_gathered(items)), uuid.uuid4().hex  # of checked size
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, values = _automaton(name, shared, n)
+        for batch in batches:
+            data, offs = common.flat(batch.column(batch.schema.get_field_index("text")))
+            raw = data.tobytes()
+            keep = [not scan(raw[a:b], automaton, values)[1].any() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-def digest(item_ids: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, item_ids))).encode()).hexdigest()
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1(docs: DataFrame, items: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
     names = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     return occurrences(docs, items).select(
         "doc_id",

@@ -337,12 +337,13 @@ def covered(length: int, first: np.ndarray, count: np.ndarray, window: int) -> n
     return np.cumsum(step[:-1]) > 0
 
 
-def finish(kind: Kind, per_document: Callable, schema: pa.Schema) -> Callable:
-    """per_document(text bytes, first, count) gives a row's columns after doc_id."""
+def finish(kind: Kind, per_document: Callable, schema: pa.Schema, carry: bool) -> Callable:
+    """per_document(text bytes, first, count) gives a row's columns after doc_id; carry: text and rest follow."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return schema.empty_table()
+            more = [("text", left.column("text").type), ("rest", left.column("rest").type)] if carry else []
+            return pa.schema([*schema, *more]).empty_table()
         docs = Documents(left)
         spans = [unpack(b[1:]) for b in right.column("blob").to_pylist() if b and b[:1] == b"S"]
         name = docs.name
@@ -358,26 +359,35 @@ def finish(kind: Kind, per_document: Callable, schema: pa.Schema) -> Callable:
             lo = hi = np.zeros(len(name), np.int64)
         raw = docs.data.tobytes()
         rows = [per_document(raw[docs.offs[i] : docs.offs[i + 1]], first[lo[i] : hi[i]], count[lo[i] : hi[i]]) for i in range(len(name))]
-        columns = [docs.raw_ids.cast(pa.int64())]
+        out = {"doc_id": docs.raw_ids.cast(pa.int64())}
         for k, f in enumerate(list(schema)[1:]):
-            columns.append(pa.array([r[k] for r in rows], f.type))
-        return pa.Table.from_arrays(columns, schema=schema)
+            out[f.name] = pa.array([r[k] for r in rows], f.type)
+        if carry:
+            out |= {"text": left.column("text"), "rest": left.column("rest")}
+        return pa.table(out)
 
     return run
 
 
-def find(docs: DataFrame, kind: Kind, solver: Callable, per_document: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-    """per_document's row for every document, given the windows of it that start earlier."""
+def find(docs: DataFrame, kind: Kind, solver: Callable, per_document: Callable, schema: pa.Schema, ddl: str, carry: bool = False) -> DataFrame:
+    """per_document's row for every document, given the windows of it that start earlier.
+
+    carry: with the text and a struct rest of all columns of docs but text.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     n = common.parts(spark)
-    docs = common.slim(docs, "doc_id", "text")
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[rest] * carry)
+    docs = whole.select("doc_id", "text")
+    if carry:
+        ddl += f", text string, rest {whole.schema['rest'].dataType.simpleString()}"
     runs = docs.mapInArrow(first_pass(kind, n), PACKED)
     met = common.settled(runs.groupBy("part").applyInArrow(meet(kind, n), PACKED))
     # one exchange of the texts serves both joins
-    homed = docs.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(common.NULL_ID)), F.lit(n)).cast("int")).repartition(n, "part")
+    homed = whole.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(common.NULL_ID)), F.lit(n)).cast("int")).repartition(n, "part")
     asked = met.where(F.substring("blob", 1, 1) == F.lit(b"W"))
-    values = homed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(cut_out(kind, n), PACKED)
+    values = homed.select("doc_id", "text", "part").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(cut_out(kind, n), PACKED)
     found = values.groupBy("part").applyInArrow(solve(kind, n, solver), PACKED)
     spans = met.where(F.substring("blob", 1, 1) == F.lit(b"S")).unionByName(found)
-    return homed.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(finish(kind, per_document, schema), ddl)
+    return homed.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(finish(kind, per_document, schema, carry), ddl)

@@ -141,6 +141,9 @@ def kept_words(text: bytes, first: np.ndarray, count: np.ndarray) -> tuple[int,
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
+DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+
+
 def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """Each document without the words of 13-word windows that also start in a smaller doc_id.
 
@@ -155,8 +158,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
         n, removed, kept = kept_words(text, first, count)
         return n, removed, hashlib.sha256(kept).hexdigest(), None if digest else kept.decode("utf-8", "replace")
 
-    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return repeats.find(docs, repeats.WORDS, repeated, row, SCHEMA, ddl)
+    return repeats.find(docs, repeats.WORDS, repeated, row, SCHEMA, DDL)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -164,14 +166,20 @@ def clean(docs: DataFrame) -> DataFrame:
 
     A text without repeats is left as it is. n_chars, where there is one, follows the text.
     """
-    kept = remove_repeats(docs).where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("n_removed").alias("_gone"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("_kept")).dropDuplicates(["_id"])
-    text = F.when(F.col("_gone") > 0, F.col("_kept")).otherwise(F.col("text"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_gone") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+    def row(text: bytes, first: np.ndarray, count: np.ndarray) -> tuple:
+        if not len(first):
+            return 1, 0, None, None
+        n, removed, kept = kept_words(text, first, count)
+        return n, removed, None, kept.decode("utf-8", "replace")
+
+    found = repeats.find(docs, repeats.WORDS, repeated, row, SCHEMA, DDL, carry=True).where(F.col("n_removed") < F.col("n_words"))
+    changed = F.col("n_removed") > 0
+    out = {c: F.col("rest").getField(c) for c in docs.columns if c != "text"}
+    out["text"] = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    if "n_chars" in out:
+        out["n_chars"] = F.when(changed, F.length("kept")).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def op7(docs: DataFrame) -> DataFrame:

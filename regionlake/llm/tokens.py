@@ -12,6 +12,7 @@ counts of short words are remembered. With scores that are whole numbers, as her
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,7 +136,7 @@ class Counter(dict):
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-_counters: dict[int, Counter] = {}
+_counters: dict[str, Counter] = {}
 
 
 def count(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -147,13 +148,13 @@ def count(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
     spark = docs.sparkSession
     common.ship(spark)
-    shared = spark.sparkContext.broadcast(load(path))
+    shared, name = spark.sparkContext.broadcast(load(path)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(shared) not in _counters:
+        if name not in _counters:
             _counters.clear()
-            _counters[id(shared)] = Counter(shared.value)
-        counter = _counters[id(shared)]
+            _counters[name] = Counter(shared.value)
+        counter = _counters[name]
         for batch in batches:
             got = [counter.count(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
