@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import heap
 from ..plans import intervals
+from ..plans.settle import settle
 from ..registry import query
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_sql
@@ -46,8 +47,8 @@ def region_empty(spark, d) -> DataFrame:
 
 def is_subregion(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Per key of a: whether b covers all of it."""
-    missing = intervals.difference(a, b, keys).select(*keys).distinct().withColumn("_missing", F.lit(True))
-    return a.select(*keys).distinct().join(missing, keys, "left").select(*keys, F.col("_missing").isNull().alias("contained"))
+    pieces = intervals.segments({"a": a, "b": b}, keys).where("a")
+    return pieces.groupBy(*keys).agg(F.bool_and("b").alias("contained"))
 
 
 @query(
@@ -61,7 +62,7 @@ def is_subregion(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 )
 def region_subregion(spark, d) -> DataFrame:
     a, b = fx.region_a(spark, d), fx.region_b(spark, d)
-    both = intervals.intersect(a, b, ITEM)
+    both = settle(intervals.intersect(a, b, ITEM))
     return is_subregion(a, b, ITEM).select(F.lit("a").alias("what"), "item", "contained").unionByName(is_subregion(both, b, ITEM).select(F.lit("intersection").alias("what"), "item", "contained"))
 
 

@@ -19,66 +19,64 @@ def _bin(c: Column, width: int) -> Column:
 
 
 def merge(df: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """The canonical form of a set of intervals (keys, lo, hi): disjoint, maximal, not empty."""
-    rows = df.where("lo < hi").groupBy(*keys, "lo").agg(F.max("hi").alias("hi")).withColumn("_bin", _bin(F.col("lo"), width))
+    """The canonical form of a set of intervals (keys, lo, hi): disjoint, maximal, not empty.
+
+    Intervals are merged inside the bins of their starts. A bin then tells its last start and its end; along
+    the key these give each bin what reaches into it, and since where.
+    """
+    rows = df.where("lo < hi").withColumn("_bin", _bin(F.col("lo"), width))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("lo", "hi")
+    before = F.max("hi").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = rows.select(*keys, "_bin", "lo", "hi", F.when(before >= F.col("lo"), 0).otherwise(1).alias("_new"))
+    numbered = flagged.withColumn("_part", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    local = numbered.groupBy(*keys, "_bin", "_part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     along = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy(*keys, "_bin").agg(F.max("hi").alias("_top")).withColumn("_carry", F.max("_top").over(along)).drop("_top")
-    inside = Window.partitionBy(*keys, "_bin").orderBy("lo")
-    before = F.greatest(F.max("hi").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
-    flagged = rows.join(carried, [*keys, "_bin"]).withColumn("_new", F.when(before >= F.col("lo"), 0).otherwise(1))
-    # islands are numbered inside the bin; 0 continues the last island of the bins before
-    flagged = flagged.withColumn("_part", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    starts = flagged.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n"))
-    starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
-    local = flagged.groupBy(*keys, "_bin", "_part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return (
-        local.join(starts, [*keys, "_bin"])
-        .groupBy(*keys, (F.col("_base") + F.col("_part")).alias("_island"))
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .drop("_island")
-    )
+    bins = local.groupBy(*keys, "_bin").agg(F.max("lo").alias("_last"), F.max("hi").alias("_top")).withColumn("_reach", F.max("_top").over(along))
+    fresh = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))
+    bins = bins.withColumn("_since", F.last(fresh, ignorenulls=True).over(along)).select(*keys, "_bin", "_reach", "_since")
+    start = F.when(F.col("lo") <= F.col("_reach"), F.col("_since")).otherwise(F.col("lo"))
+    return local.join(bins, [*keys, "_bin"]).groupBy(*keys, start.alias("lo")).agg(F.max("hi").alias("hi"))
 
 
-def segments(a: DataFrame, b: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """keys, lo, hi, in_a, in_b: the pieces between all ends of both sets, where either covers."""
+def segments(sets: dict[str, DataFrame], keys: list[str], width: int = BIN) -> DataFrame:
+    """keys, lo, hi and for each set whether it covers the piece: one sweep over the ends of all sets."""
     ends = None
-    for df, x, y in ((a, 1, 0), (b, 0, 1)):
-        df = df.where("lo < hi")
-        for c, sign in (("lo", 1), ("hi", -1)):
-            part = df.select(*keys, F.col(c).alias("p"), F.lit(sign * x).alias("a"), F.lit(sign * y).alias("b"))
-            ends = part if ends is None else ends.unionByName(part)
-    points = ends.groupBy(*keys, "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("_bin", _bin(F.col("p"), width))
+    for name, df in sets.items():
+        signs = lambda s, own=name: [F.lit(s if n == own else 0).alias(n) for n in sets]
+        pair = F.inline(F.array(F.struct(F.col("lo").alias("p"), *signs(1)), F.struct(F.col("hi").alias("p"), *signs(-1))))
+        part = df.where("lo < hi").select(*keys, pair)
+        ends = part if ends is None else ends.unionByName(part)
+    points = ends.withColumn("_bin", _bin(F.col("p"), width)).repartition(*keys, "_bin")
+    points = points.groupBy(*keys, "_bin", "p").agg(*[F.sum(n).alias(n) for n in sets])
     order = Window.partitionBy(*keys).orderBy("_bin")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    bins = points.groupBy(*keys, "_bin").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.min("p").alias("p0"))
-    bins = bins.select(
-        *keys, "_bin", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("ca"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("cb"), F.lead("p0").over(order).alias("after")
-    )
+    bins = points.groupBy(*keys, "_bin").agg(F.min("p").alias("_p"), *[F.sum(n).alias(f"_s_{n}") for n in sets])
+    bins = bins.select(*keys, "_bin", F.lead("_p").over(order).alias("_after"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sets])
     inside = Window.partitionBy(*keys, "_bin").orderBy("p")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        points.join(bins, [*keys, "_bin"])
-        .select(
-            *keys,
-            F.col("p").alias("lo"),
-            F.coalesce(F.lead("p").over(inside), F.col("after")).alias("hi"),
-            (F.col("ca") + F.sum("a").over(so_far) > 0).alias("in_a"),
-            (F.col("cb") + F.sum("b").over(so_far) > 0).alias("in_b"),
-        )
-        .where("in_a OR in_b")
+    return points.join(bins, [*keys, "_bin"]).select(
+        *keys,
+        F.col("p").alias("lo"),
+        F.coalesce(F.lead("p").over(inside), F.col("_after")).alias("hi"),
+        *[(F.col(f"_c_{n}") + F.sum(n).over(so_far) > 0).alias(n) for n in sets],
     )
 
 
+def where(sets: dict[str, DataFrame], keys: list[str], condition: str) -> DataFrame:
+    """The canonical region of the elements for which a condition on the sets' names holds."""
+    return merge(segments(sets, keys).where(condition).select(*keys, "lo", "hi"), keys)
+
+
 def union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return merge(a.select(*keys, "lo", "hi").unionByName(b.select(*keys, "lo", "hi")), keys)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return merge(segments(a, b, keys).where("in_a AND in_b").drop("in_a", "in_b"), keys)
+    return where({"a": a, "b": b}, keys, "a AND b")
 
 
 def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return merge(segments(a, b, keys).where("in_a AND NOT in_b").drop("in_a", "in_b"), keys)
+    return where({"a": a, "b": b}, keys, "a AND NOT b")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
