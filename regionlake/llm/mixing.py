@@ -111,11 +111,10 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, mo
     by_range = sized.groupBy("skey", "size", "b").agg(F.count(F.lit(1)).alias("n"))
     by_length = sized.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = by_length.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
-    sizes: dict[str | None, int] = {}
-    for r in totals.toLocalIterator():  # one row a source
-        sizes[r["skey"][1:] if r["skey"] != "n" else None] = int(r["total"])
-        if len(sizes) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
+    gathered = totals.limit(MAX_SOURCES + 1).collect()  # one row a source
+    if len(gathered) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {(r["skey"][1:] if r["skey"] != "n" else None): int(r["total"]) for r in gathered}
     wanted = {("n" if s is None else "s" + s): (t, sizes[s]) for s, t in targets(sizes, weights, most, share).items()}
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
