@@ -35,8 +35,9 @@ from . import common, hashing
 
 #: A key with more contents than this is cut again by longer grams.
 WIDE = 2048
-#: Values that a map task gathers before it deals out what it found.
-FLUSH = 4 << 20
+#: Bytes of text from which a map task gathers runs before it deals them out: at least the first; more with
+#: more destinations, so that each gets many runs at once; at most the last.
+FLUSH, FLUSH_EACH, FLUSH_MOST = 4 << 20, 16 << 10, 64 << 20
 
 PACKED = "part int, blob binary"
 _PACKED = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
@@ -119,6 +120,8 @@ def home(doc: np.ndarray, n: int) -> np.ndarray:
 def first_pass(kind: Kind, n: int) -> Callable:
     """Documents to packed runs: key, content, document of a small table, first start, starts."""
 
+    limit = min(FLUSH_MOST, max(FLUSH, n * FLUSH_EACH))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -163,7 +166,7 @@ def first_pass(kind: Kind, n: int) -> Callable:
                 at = np.searchsorted(bounds, first, "right") - 1
                 held.append((doc[i:j], th[i:j], key, content, at, first - bounds[at], count << 1 | inner))
                 size += len(piece)
-                if size >= FLUSH:
+                if size >= limit:
                     yield flush()
                     size = 0
         if held:
