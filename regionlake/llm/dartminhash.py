@@ -116,7 +116,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[n
 
 
 _SIGNED = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
+_SETS = pa.schema([("same", pa.int64()), ("grams", pa.binary())])
 
 
 def _sign(size: int, rows: int, bands: int):
@@ -144,9 +144,9 @@ def _sets(size: int):
         for batch in batches:
             data, offs = common.flat(batch.column(1))
             for i, j in common.groups(offs, 1 << 20):
-                grams, bounds, _ = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
+                grams, bounds, whole = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
                 sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], schema=_SETS)
 
     return run
 
@@ -214,41 +214,45 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     common.ship(spark)
     docs = common.slim(docs, "doc_id", "text")
     signed = common.settled(docs.mapInArrow(_sign(size, rows, bands), "id long, same long, bands array<long>"))
-    lead = signed.groupBy("same").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
-    lead = common.settled(lead)
-    members = signed.select("id", "same").join(lead.select("same", "rep"), "same").select("id", "rep")
-    held = lead.select("rep", F.explode("bands").alias("key"))
-    firsts = held.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # a node is a text's words; it has the least id that has it
+    lead = common.settled(signed.groupBy("same").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
+    held = lead.select("rep", "same", F.explode("bands").alias("key"))
+    firsts = held.groupBy("key").agg(F.min_by("same", F.struct("rep", "same")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = common.settled(held.join(firsts, "key"))
-    pairs = buckets.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = buckets.where("same <> first").select(F.col("same").alias("a"), F.col("first").alias("b")).distinct()
     needed = buckets.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), "text").join(needed, "id", "left_semi")
-    sets = common.settled(texts.mapInArrow(_sets(size), "id long, grams binary").groupBy("id").agg(F.max("grams").alias("grams")))
+    sets = common.settled(texts.mapInArrow(_sets(size), "same long, grams binary").groupBy("same").agg(F.any_value("grams").alias("grams")))
     checked = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+        pairs.join(sets.select(F.col("same").alias("a"), F.col("grams").alias("ga")), "a")
+        .join(sets.select(F.col("same").alias("b"), F.col("grams").alias("gb")), "b")
         .select("a", "b", "ga", "gb")
         .mapInArrow(_verify, "a long, b long, similarity double")
     )
     checked = common.settled(checked)
     links = checked.where(F.col("similarity") >= similarity).select("a", "b")
+    # several texts of one id are one document
+    owners = signed.select("id", "same").distinct()
+    shared = owners.groupBy("id").agg(F.min("same").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "b")
+    links = links.unionByName(owners.join(shared, "id").select(F.col("same").alias("a"), "b"))
     found = connected(links)
     # buckets with several components
-    placed = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = buckets.join(found.withColumnRenamed("id", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     several = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
-    far = checked.select(F.col("a").alias("rep"), F.col("b").alias("first"), (1 - F.col("similarity")).alias("far"))
+    far = checked.select(F.col("a").alias("same"), F.col("b").alias("first"), (1 - F.col("similarity")).alias("far"))
     # a pair of two is already compared, as one of them is the first
-    open_ = placed.join(several.where("n > 2").select("key", "n"), "key").join(far, ["rep", "first"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    open_ = placed.join(several.where("n > 2").select("key", "n"), "key").join(far, ["same", "first"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    open_ = open_.select("key", F.col("rep").alias("id"), "root", "far", "own", F.explode(others).alias("other"))
+    open_ = open_.select("key", F.col("same").alias("id"), "root", "far", "own", F.explode(others).alias("other"))
     open_ = open_.select("key", "id", "root", "far", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = open_.join(sets, "id").groupBy("key", "bi", "bj").applyInArrow(_block(similarity), "a long, b long")
+    more = open_.join(sets.withColumnRenamed("same", "id"), "id").groupBy("key", "bi", "bj").applyInArrow(_block(similarity), "a long, b long")
     more = common.settled(more.distinct())
     if not more.isEmpty():
         found = connected(links.unionByName(more))
-    placed = members.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    placed = placed.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
+    nodes = lead.select("same", "rep").join(found.withColumnRenamed("id", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    nodes = nodes.join(nodes.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("same", "class_id")
+    placed = owners.join(nodes, "same").groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = docs.select("doc_id", F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id")).join(placed, "id", "left")
     class_id = F.coalesce("class_id", "id")
     return out.select("doc_id", F.when(class_id != common.NULL_ID, class_id).alias("class_id"))
