@@ -360,27 +360,40 @@ def sha_unit(state: Column) -> Column:
     return F.pmod(F.conv(F.hex(F.substring(state, 17, 4)), 16, 10).cast("long"), F.lit(2147483648)) / 2147483648.0
 
 
-def uts_tree(spark, shape: str, b0: float, limit: int, seed: int, most: int = 64) -> list[DataFrame]:
+def children(kind: str, u: Column, depth: Column, b0: float, limit: int, shape: str = "linear", q: float = 0.25, m: int = 4, shift: float = 0.5) -> Column:
+    """Children of a node of a binomial, geometric, hybrid (geometric above shift * limit, then binomial) or
+    balanced tree. u: the node's number in [0, 1); the root of a binomial tree has floor(b0) children."""
+    binomial = F.when(u < q, m).otherwise(0)
+    mean = target_branching(shape, b0, depth, limit)
+    geometric = F.when(mean <= 0, 0).otherwise(geometric_children(u, mean))
+    return {
+        "binomial": F.when(depth == 0, int(np.floor(b0))).otherwise(F.least(binomial, F.lit(MAX_CHILDREN))),
+        "geometric": geometric,
+        "hybrid": F.when(depth < shift * limit, geometric).otherwise(F.least(binomial, F.lit(MAX_CHILDREN))),
+        "balanced": F.when(depth < limit, int(b0)).otherwise(0),
+    }[kind].cast("int")
+
+
+def uts_tree(spark, b0: float, limit: int, seed: int, kind: str = "geometric", most: int = 64, **more) -> list[DataFrame]:
     """The levels of a tree whose nodes are drawn from hashes of their path; a level is one frontier frame."""
     start = F.unhex(F.sha1(F.concat(F.unhex(F.lpad(F.lit(""), 32, "0")), F.unhex(F.lpad(F.hex(F.lit(seed)), 8, "0")))))
     level = spark.range(1).select(start.alias("state"))
     levels = []
     for depth in range(most):
-        b = target_branching(shape, b0, F.lit(depth), limit)
-        n = F.when(b <= 0, 0).otherwise(geometric_children(sha_unit(F.col("state")), b))
-        level = settle(level.select("state", n.alias("n")))
+        level = settle(level.select("state", children(kind, sha_unit(F.col("state")), F.lit(depth), b0, limit, **more).alias("n")))
         levels.append(level.select(F.lit(depth).alias("depth"), "n"))
-        more = level.where("n > 0").select("state", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("child"))
-        if more.isEmpty():
+        nodes = level.where("n > 0").select("state", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("child"))
+        if nodes.isEmpty():
             break
-        level = more.select(sha_state(F.col("state"), F.col("child")).alias("state")).repartition(spark.sparkContext.defaultParallelism)
+        # children of few parents would stay in few tasks
+        level = nodes.select(sha_state(F.col("state"), F.col("child")).alias("state")).repartition(spark.sparkContext.defaultParallelism)
     return levels
 
 
 @query("q_uts_size")
-def uts_size(spark, d, shape: str = "fixed", b0: float = 4.0, limit: int = 5, seed: int = 19) -> DataFrame:
-    """Nodes and leaves of every depth of a geometric tree."""
-    levels = uts_tree(spark, shape, b0, limit, seed)
+def uts_size(spark, d, b0: float = 4.0, limit: int = 5, seed: int = 19, **more) -> DataFrame:
+    """Nodes and leaves of every depth of a tree, a geometric one of fixed shape unless told otherwise."""
+    levels = uts_tree(spark, b0, limit, seed, **({"shape": "fixed"} | more))
     return reduce(lambda a, b: a.unionByName(b), levels).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("n") == 0).alias("leaves"))
 
 

@@ -1,11 +1,16 @@
 """Invariants, closed forms and literal results of operators that SQL does not cover."""
 
+import hashlib
+import math
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
 from regionlake import registry
+from regionlake.functions import tuning
 from regionlake.operators import kernels, scheduling
 from regionlake.plans import intervals
 from regionlake.sources import fixtures as fx
@@ -123,3 +128,37 @@ def test_stream_throughput(spark, tmp_path):
     q.awaitTermination()
     got = {(r["rank"], r["tasks"]) for r in spark.read.parquet(out).collect()}
     assert got == {(1, 2), (2, 1)}
+
+
+def plain_tree(b0, limit, seed):
+    level, sizes = [hashlib.sha1(b"\0" * 16 + struct.pack(">I", seed)).digest()], []
+    while level:
+        below = []
+        for depth, s in ((len(sizes), s) for s in level):
+            u = (struct.unpack(">I", s[16:])[0] & 0x7FFFFFFF) / 2147483648.0
+            n = min(100, math.floor(math.log(1 - u) / math.log(1 - 1 / (1 + b0)))) if depth < limit or depth == 0 else 0
+            below += [hashlib.sha1(s + struct.pack(">I", i)).digest() for i in range(n)]
+        sizes.append(len(level))
+        level = below
+    return sizes
+
+
+def test_uts_tree_is_the_hashed_one(spark):
+    """The same rule in plain Python gives 4,130,071 nodes of depth 10 and seed 19."""
+    got = [r["nodes"] for r in kernels.uts_size(spark, DATA, limit=6).orderBy("depth").collect()]
+    assert got == plain_tree(4.0, 6, 19)
+
+
+def test_child_counts(spark):
+    rows = spark.range(4).select(F.col("id").alias("depth"))
+    of = lambda kind, **k: [r["n"] for r in rows.select(kernels.children(kind, F.lit(0.2), F.col("depth"), 5.0, 2, **k).alias("n")).collect()]
+    assert of("binomial") == [5, 4, 4, 4] and of("balanced") == [5, 5, 0, 0]
+    assert of("hybrid", shape="fixed") == [of("geometric", shape="fixed")[0], 4, 4, 4]
+    assert of("geometric", shape="linear")[2:] == [0, 0]
+
+
+def test_tuners():
+    best, score = tuning.coordinate_descent(lambda s: -((s[0] - 7) ** 2) - (s[1] - 3) ** 2, (1, 9), [(1, 10), (1, 10)])
+    assert best == (7, 3) and score == 0
+    x, y = tuning.simplex(lambda p: (p[0] - 2) ** 2 + (p[1] + 1) ** 2, np.array([[0, 0], [5, 0], [0, 5]]), np.array([-5, 0]), np.array([5, 5]))
+    assert abs(x[0] - 2) < 1e-2 and x[1] == 0 and abs(y - 1) < 1e-3
