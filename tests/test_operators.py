@@ -14,6 +14,7 @@ from regionlake.functions import tuning
 from regionlake.operators import kernels, scheduling
 from regionlake.plans import intervals
 from regionlake.sources import fixtures as fx
+from regionlake.sources import sinks
 from regionlake.streaming import monitor
 
 Q = registry.queries()
@@ -162,3 +163,20 @@ def test_tuners():
     assert best == (7, 3) and score == 0
     x, y = tuning.simplex(lambda p: (p[0] - 2) ** 2 + (p[1] + 1) ** 2, np.array([[0, 0], [5, 0], [0, 5]]), np.array([-5, 0]), np.array([5, 5]))
     assert abs(x[0] - 2) < 1e-2 and x[1] == 0 and abs(y - 1) < 1e-3
+
+
+def test_sinks(spark, tmp_path):
+    nodes = Q["q_tree_nodes"](spark, DATA).where("heap < 4")
+    edges = Q["q_tree_edges"](spark, DATA).where("child < 4")
+    lines = [r["value"] for r in sinks.graph_lines(nodes, edges).collect()]
+    assert lines[0] == "digraph tasks {" and lines[-1] == "}" and lines[-2] == '  "1" -> "3";' and len(lines) == 7
+    cells = spark.createDataFrame([(1, 0, 2.0), (0, 1, 0.5)], "rank int, sample long, value double")
+    sinks.write_lines(sinks.heatmap_lines(cells), str(tmp_path / "h"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "h")).collect()] == ["0 1 0.500000", "1 0 2.000000"]
+    sinks.snapshot_csv(spark.createDataFrame([(0, 1, 2, 3, 9)], "frame int, x long, y long, z long, n long"), str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s")).first().asDict() == {"t": "0", "x": "1", "y": "2", "z": "3", "density": "9"}
+
+
+def test_json_frames(spark):
+    r = scheduling.framed(spark.createDataFrame([("é{}",)], "json string")).first()
+    assert bytes(r["frame"]) == struct.pack(">Q", 4) + "é{}".encode()
