@@ -136,7 +136,11 @@ def first_pass(kind: Kind, n: int) -> Callable:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             doc, th, at = doc[order], th[order], rank[at]
+            # rows that agree in both are one document: one of them sends its runs
+            again = np.zeros(len(doc), bool)
+            again[1:] = (doc[1:] == doc[:-1]) & (th[1:] == th[:-1])
             o = np.lexsort((first, at))
+            o = o[~again[at[o]]]
             key, content, at, first, count = key[o], content[o], at[o], first[o], count[o]
             o = np.argsort(content, kind="stable")
             start = np.concatenate([[True], content[o][1:] != content[o][:-1]]) if len(o) else np.zeros(0, bool)
@@ -204,6 +208,10 @@ def meet(kind: Kind, n: int) -> Callable:
         th = np.concatenate([g[3][g[4]] for g in got])
         del got
         o = np.lexsort((first, th, doc, content, key))
+        # a run that another task sent too, of an equal row, is the same run
+        again = np.zeros(len(o), bool)
+        again[1:] = np.logical_and.reduce([x[o][1:] == x[o][:-1] for x in (key, content, doc, th, first)])
+        o = o[~again]
         key, content, doc, th, first, count, inner = (x[o] for x in (key, content, doc, th, first, count, inner))
         same_key = np.concatenate([[False], key[1:] == key[:-1]])
         same = same_key.copy()

@@ -68,6 +68,21 @@ def test_op5_odd(odd, none):
     assert bytes(full["kept"]) == b"x"
 
 
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_op5_equal_rows_are_one_document(spark, tasks):
+    """Rows that agree in doc_id and text do not remove each other, in one task or in several."""
+    texts = [" ".join(hashlib.sha256(f"{k}-{i}".encode()).hexdigest() for i in range(40)) for k in range(3)]
+    rows = [(9, texts[0]), (9, texts[0]), (None, texts[1]), (None, texts[1]), (9, texts[0]), (10, texts[0]), (7, texts[2]), (7, texts[2] + texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks, F.rand(7))
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_array.op5(df).collect())
+    n = len(texts[0])
+    assert [g for g in got if g[0] != 7] == [(0, n, 0)] * 2 + [(9, n, 0)] * 3 + [(10, n, n)]
+    # rows that share only the doc_id are ordered by a hash of the text: one of them is the earlier
+    assert sum(r for d, _, r in got if d == 7) == 2 * n
+    kept = suffix_array.remove_repeats(df).where("doc_id = 9").collect()
+    assert [bytes(r["kept"]).decode() for r in kept] == [texts[0]] * 3
+
+
 def test_op7_odd(odd, none):
     got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in suffix_tree.op7(odd).collect()}
     n = len(LONG.split())
