@@ -48,6 +48,8 @@ BAD_NAMES = frozenset(
 )
 HEADER_NAMES = frozenset("header head top".split())
 GOOD_NAMES = frozenset("article post entry story content main".split())
+#: Elements whose class and id tell of the page's layout, not of what stands inside.
+UNNAMED = frozenset("html body main article".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -62,16 +64,19 @@ class Block:
     boiler: bool
     article: bool
     part: int  # the part of the page it belongs to
+    named: tuple[int, ...] = ()  # open elements that only a word of class or id makes bad
+    inside: tuple[int, ...] = ()  # open elements that may be the page's article
     label: bool | None = None
 
 
 def _place(name: str, attributes: str, in_article: bool) -> str:
-    """'bad', 'good' or '' for what stands inside an element."""
+    """'bad', 'named' (bad by a word of class or id), 'good' or '' for what stands inside an element."""
     if name in BOILER:
         return "bad"
     if name == "header" and not in_article:
         return "bad"
     found = "good" if name in ("article", "main") else ""
+    named = False
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -79,19 +84,42 @@ def _place(name: str, attributes: str, in_article: bool) -> str:
                 return "bad"
             if key == "role" and value in ROLES:
                 return "bad"
-            if key in ("class", "id"):
+            if key in ("class", "id") and name not in UNNAMED:
                 words = set(re.split(r"[^a-z]+", value))
-                if words & BAD_NAMES or not in_article and words & HEADER_NAMES and name != "body" and not words & GOOD_NAMES:
-                    return "bad"
+                if words & BAD_NAMES or not in_article and words & HEADER_NAMES and not words & GOOD_NAMES:
+                    named = True
                 if words & GOOD_NAMES and name in ("div", "section", "td"):
                     found = "good"
-    return found
+    return "named" if named else found
+
+
+def _pardon(found: list[Block], holders: dict[int, tuple[str, tuple[int, ...]]]) -> None:
+    """Names do not condemn what contains the article: the longest main and the longest article element, or,
+    in a page with neither, the longest element of a good name if it has more text than stands outside bad names."""
+    size = dict.fromkeys(holders, 0)
+    for b in found:
+        for k in b.inside:
+            size[k] += len(b.text) - b.linked
+    free = set()
+    for kind in ("main", "article"):
+        own = [k for k, (name, _) in holders.items() if name == kind and size[k]]
+        if own:
+            free.update(holders[max(own, key=lambda k: size[k])][1])
+    if not any(name in ("main", "article") and size[k] for k, (name, _) in holders.items()):
+        most = max(holders, key=lambda k: size[k], default=None)
+        if most and size[most] > sum(len(b.text) - b.linked for b in found if not b.boiler and not b.named):
+            free.update(holders[most][1])
+    for b in found:
+        b.boiler = b.boiler or not free.issuperset(b.named)
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements and their places
-    bad = good = links = part = 0
+    stack: list[tuple[str, str, bool]] = []  # open elements, their places, whether they may be the article
+    bad = good = links = part = opened = 0
+    named: list[int] = []
+    inside: list[int] = []
+    holders: dict[int, tuple[str, tuple[int, ...]]] = {}  # what may be the article: its name, what is named around it
     text: list[str] = []
     linked: list[str] = []
 
@@ -99,17 +127,21 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                inside = len(" ".join(html.unescape("".join(linked)).split()))
-                out.append(Block(whole, inside, bad > 0, good > 0, part))
+                n_linked = len(" ".join(html.unescape("".join(linked)).split()))
+                out.append(Block(whole, n_linked, bad > 0, good > 0, part, tuple(named), tuple(inside)))
             text.clear()
             linked.clear()
 
     def close(to: int) -> None:
         nonlocal bad, good, links, part
         while len(stack) > to:
-            name, place = stack.pop()
+            name, place, holder = stack.pop()
             bad -= place == "bad"
             good -= place == "good"
+            if place == "named":
+                named.pop()
+            if holder:
+                inside.pop()
             links -= name == "a"
             part += place != ""
 
@@ -159,10 +191,18 @@ def blocks(page: str) -> list[Block]:
             place = "" if inline else _place(name, m[3] or m[6] or "", good > 0)
             bad += place == "bad"
             good += place == "good"
+            opened += 1
+            holder = place == "good" and not bad
+            if holder:
+                holders[opened] = (name, tuple(named))
+                inside.append(opened)
+            if place == "named":
+                named.append(opened)
             links += name == "a"
             part += place != ""
-            stack.append((name, place))
+            stack.append((name, place, holder))
     end_block()
+    _pardon(out, holders)
     return out
 
 

@@ -230,6 +230,30 @@ def test_page_without_article():
     assert html_text.main_text(p).endswith("\n\nEnd.") and "Menu" not in html_text.main_text(p)
 
 
+STORY = "This is the story of the town and of the people who live in it, and it is long enough to be read. " * 3
+TALK = "I think that this is not what the people of the town would say about it if you had asked them. " * 3
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='single has-sidebar'><article><p>{}</article>", "<html class='cookies js'><body><article><p>{}</article>", "<html class='header-fixed'><body><article><p>{}</article>",
+    "<main class='content with-sidebar'><p>{}</main>", "<article class='post comments-open'><p>{}</article>", "<article id='top' class='share'><p>{}</article>",
+    "<div class='page with-sidebar'><div id=header-fixed><main><div class='share-on'><article><p>{}</article></div></main></div></div>",
+    "<div class='page has-sidebar'><div class='entry-content'><p>{}</div></div>",
+])
+def test_names_around_the_article(page):
+    """A word in the class or id of the page, the article, or what contains it does not empty the page."""
+    aside = f"<div class=comments><p>{TALK}</div><div class=sidebar><p>{STORY[:120]}</div><nav class=menu>Menu</nav>"
+    assert html_text.main_text(page.format(STORY)) == STORY.strip()
+    assert html_text.main_text(page.format(STORY) + aside) == STORY.strip()
+
+
+def test_names_condemn_other_articles():
+    """Articles of a list of comments or of teasers stay out, beside the page's own and without one."""
+    talk = f"<div class=comments><article><p>{TALK}</article></div>"
+    assert html_text.main_text(f"<article><p>{STORY}{STORY}</article>{talk}") == (STORY + STORY).strip()
+    assert html_text.main_text(f"<div class=sidebar><div class=content><p>{STORY[:99]}</div></div><p>{STORY}") == STORY.strip()
+
+
 def test_record_round_trip():
     html = "<p>é\r\n\r\nWARC/1.1\x00</p>".encode()
     got = warc.parse(warc.record(7, "http://a.b/ c\n", html, warc.sha1(html), None))
