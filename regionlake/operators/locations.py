@@ -178,10 +178,15 @@ def q_transfer_plan(spark, d) -> DataFrame:
     return transfer_plan(fx.requirement(spark, d), loc.unionByName(also), F.col("task") % RANKS)
 
 
-@query("q_ownership_json", with_sql("WITH r AS (SELECT rank, item, lo, hi FROM location WHERE lo < 3000) SELECT rank, item, '{\"id\":\"' || item || '\",\"type\":\"range\",\"region\":[' || string_agg('{\"from\":[' || lo || '],\"to\":[' || hi || ']}', ',' ORDER BY lo) || ']}' AS json FROM (SELECT rank, item, min(c) AS lo, max(c) + 1 AS hi FROM (SELECT *, c - row_number() OVER (PARTITION BY rank, item ORDER BY c) AS g FROM (SELECT DISTINCT rank, item, unnest(range(lo, hi)) AS c FROM r)) GROUP BY rank, item, g) GROUP BY rank, item", "location"))
-def ownership_json(spark, d) -> DataFrame:
+def ownership_json(locations: DataFrame) -> DataFrame:
     """Each rank's boxes of an item as JSON, in order. A rank's canonical boxes of one item are one document."""
-    boxes = intervals.merge(fx.location(spark, d).where("lo < 3000"), OWNER)
+    boxes = intervals.merge(locations, OWNER)
     part = F.struct(F.array("lo").alias("from"), F.array("hi").alias("to"))
     listed = boxes.groupBy("rank", "item").agg(F.sort_array(F.collect_list(part)).alias("region"))
     return listed.select("rank", "item", F.to_json(F.struct(F.col("item").alias("id"), F.lit("range").alias("type"), "region")).alias("json"))
+
+
+@query("q_ownership_json", with_sql("WITH r AS (SELECT rank, item, lo, hi FROM location WHERE lo < 3000) SELECT rank, item, '{\"id\":\"' || item || '\",\"type\":\"range\",\"region\":[' || string_agg('{\"from\":[' || lo || '],\"to\":[' || hi || ']}', ',' ORDER BY lo) || ']}' AS json FROM (SELECT rank, item, min(c) AS lo, max(c) + 1 AS hi FROM (SELECT *, c - row_number() OVER (PARTITION BY rank, item ORDER BY c) AS g FROM (SELECT DISTINCT rank, item, unnest(range(lo, hi)) AS c FROM r)) GROUP BY rank, item, g) GROUP BY rank, item", "location"))
+def q_ownership_json(spark, d) -> DataFrame:
+    """Of locations below 3000 only, as its SQL has it."""
+    return ownership_json(fx.location(spark, d).where("lo < 3000"))

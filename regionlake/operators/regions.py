@@ -89,11 +89,12 @@ _TILES = "SELECT CAST(floor(event_id / 100) AS BIGINT) AS tile, CAST(floor(event
 
 @query("q_region_halo", f"SELECT tile, greatest(lo_x - 2, 0) AS lo_x, least(hi_x + 2, 100) AS hi_x, greatest(lo_y - 2, 0) AS lo_y, least(hi_y + 2, 100) AS hi_y FROM ({_TILES})")
 def region_halo(spark, d) -> DataFrame:
+    """Of every tile of events, whichever of its events are there."""
     t = F.floor(F.col("event_id") / 100).cast("long")
     u = F.floor(F.col("event_id") / 1000).cast("long")
-    tiles = fx.table(spark, d, "events").where("event_id % 100 = 0").select(
+    tiles = fx.table(spark, d, "events").select(
         t.alias("tile"), (t % 10 * 10).alias("lo_x"), (t % 10 * 10 + 10).alias("hi_x"), (u % 10 * 10).alias("lo_y"), (u % 10 * 10 + 10).alias("hi_y")
-    )
+    ).distinct()
     return halo(tiles, 2, {"x": (0, 100), "y": (0, 100)})
 
 

@@ -1,6 +1,7 @@
 """Invariants, closed forms and literal results of operators that SQL does not cover."""
 
 import hashlib
+import json
 import math
 import struct
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import DATA
 from regionlake import registry
 from regionlake.functions import tuning
-from regionlake.operators import kernels, scheduling
+from regionlake.operators import kernels, locations, scheduling
 from regionlake.plans import intervals
 from regionlake.sources import fixtures as fx
 from regionlake.sources import sinks
@@ -165,6 +166,20 @@ def test_tuners():
     assert abs(x[0] - 2) < 1e-2 and x[1] == 0 and abs(y - 1) < 1e-3
 
 
+def test_ownership_json_of_all_locations(spark):
+    rows = [("A", k % 4, k * 150, k * 150 + 150) for k in range(100)] + [("A", 0, 100, 160), ("N", 1, 40000, 40001)]
+    got = {(r["rank"], r["item"]): json.loads(r["json"]) for r in locations.ownership_json(spark.createDataFrame(rows, "item string, rank int, lo long, hi long")).collect()}
+    want = {(r, "A"): [(k * 150, k * 150 + 150) for k in range(r, 100, 4)] for r in range(4)} | {(1, "N"): [(40000, 40001)]}
+    want[0, "A"][0] = (0, 160)
+    assert {k: [(*b["from"], *b["to"]) for b in v["region"]] for k, v in got.items()} == want
+
+
+def test_halo_of_tiles_without_their_first_event(spark, tmp_path):
+    spark.createDataFrame([(7,), (99,), (100,), (250,), (260,), (1999,)], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in Q["q_region_halo"](spark, str(tmp_path)).select("tile", "lo_x", "hi_x", "lo_y", "hi_y").collect())
+    assert got == [(0, 0, 12, 0, 12), (1, 8, 22, 0, 12), (2, 18, 32, 0, 12), (19, 88, 100, 8, 22)]
+
+
 def test_sinks(spark, tmp_path):
     nodes = Q["q_tree_nodes"](spark, DATA).where("heap < 4")
     edges = Q["q_tree_edges"](spark, DATA).where("child < 4")
