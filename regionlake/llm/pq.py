@@ -3,8 +3,8 @@
 Vectors are scaled to length 1 and fall into coarse inverted lists; the residual from a list's centre is
 coded by one byte in each subspace. A query scans the lists that can hold a neighbour: a vector of
 another list lies beyond the plane halfway between the two centres, so a list is left out when that plane
-is farther than probe_sigmas standard deviations of a neighbour's offset in that direction (and never
-if nearer than that; with sigmas of sqrt(dimension) or more the rule is exact). Scanning sums table entries;
+is farther than any neighbour. (With finite sigmas it is left out beyond so many standard deviations of a
+neighbour's offset in a random direction; below sqrt(dimension) that loses links.) Scanning sums table entries;
 a code whose sum plus its own quantisation error reaches the threshold is compared exactly, in double
 precision, so nothing that is scanned is lost and nothing below the threshold is reported.
 
@@ -30,7 +30,7 @@ COSINE = 0.9
 #: The index is fitted on at most so many vectors, chosen by a hash of vec_id.
 SAMPLE = 8192
 LISTS, SUBSPACES, CODES, BLOCK = 64, 8, 256, 2048
-SIGMAS = 6.0
+SIGMAS = float("inf")
 _QUERIES = 64
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
@@ -139,6 +140,17 @@ def test_op2_odd(spark):
     assert pq.op2(df.where("vec_id = 99")).count() == 0 and pq.op2(df.where("vec_id = 5")).count() == 1
 
 
+def test_op2_vectors_of_low_rank(spark):
+    """Neighbours whose offsets lie in few directions: links against brute force."""
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((4000, 3)) @ np.linalg.qr(rng.standard_normal((64, 3)))[0].T).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in pq.op2(df).collect()}
+    assert sum(got.values()) == want.sum() and got == dict(enumerate(want.tolist()))
+
+
 def test_op3_odd(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<article><p>Text</article>"), (2, "", ""), (3, "x", "<p>" + "of the " * 50000)]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
