@@ -54,6 +54,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog div
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
+NEXT_A = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -115,7 +117,7 @@ def _pardon(found: list[Block], holders: dict[int, tuple[str, tuple[int, ...]]])
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # open elements, their places, whether they may be the article
+    stack: list[tuple[str, str, bool, bool]] = []  # open elements, their places, whether the article, a link
     bad = good = links = part = opened = 0
     named: list[int] = []
     inside: list[int] = []
@@ -135,14 +137,14 @@ def blocks(page: str) -> list[Block]:
     def close(to: int) -> None:
         nonlocal bad, good, links, part
         while len(stack) > to:
-            name, place, holder = stack.pop()
+            name, place, holder, link = stack.pop()
             bad -= place == "bad"
             good -= place == "good"
             if place == "named":
                 named.pop()
             if holder:
                 inside.pop()
-            links -= name == "a"
+            links -= link
             part += place != ""
 
     at, n = 0, len(page)
@@ -165,7 +167,7 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if end:
                     at = end.end()
-                elif name not in ("head", "option", "title", "map"):
+                elif name in ("script", "style", "textarea"):  # what follows is no markup
                     at = n
             text.append(" ")
             continue
@@ -198,9 +200,13 @@ def blocks(page: str) -> list[Block]:
                 inside.append(opened)
             if place == "named":
                 named.append(opened)
-            links += name == "a"
+            link = name == "a"
+            if link and not HREF.search(m[3] or m[6] or ""):  # an anchor, unless it is closed
+                end = NEXT_A.search(page, at)
+                link = end is not None and end[1] == "/"
+            links += link
             part += place != ""
-            stack.append((name, place, holder))
+            stack.append((name, place, holder, link))
     end_block()
     _pardon(out, holders)
     return out

@@ -247,6 +247,12 @@ def test_names_around_the_article(page):
     assert html_text.main_text(page.format(STORY) + aside) == STORY.strip()
 
 
+@pytest.mark.parametrize("tag", ["<button>", "<svg>", "<noscript>", "<select>", "<video>", "<template>", "<a name=x>", "<a data-href=x>"])
+def test_unclosed_elements(tag):
+    """An element without its end does not take the rest of the page."""
+    assert html_text.main_text(f"<article><p>{tag}{STORY}<p>{STORY}") == f"{STORY.strip()}\n\n{STORY.strip()}"
+
+
 def test_names_condemn_other_articles():
     """Articles of a list of comments or of teasers stay out, beside the page's own and without one."""
     talk = f"<div class=comments><article><p>{TALK}</article></div>"
