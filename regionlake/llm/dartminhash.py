@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,36 +106,40 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[n
     long = n >= size
     take = np.repeat(bounds[:-1][long] - out_bounds[:-1][long], count[long]) + np.flatnonzero(np.repeat(long, count))
     out[np.repeat(long, count)] = grams[take]
-    whole = np.zeros(len(n), np.uint64)
-    for i in range(len(n)):
-        own = words[bounds[i] : bounds[i + 1]]
-        p = hashing.prefix(own)
-        whole[i] = p[-1]
-        if 0 < n[i] < size:
-            out[out_bounds[i]] = hashing.mix(p[-1:] + np.uint64(n[i]))[0]
-    return out, out_bounds, hashing.mix(whole + n.astype(np.uint64))
+    few = np.flatnonzero((n > 0) & (n < size))
+    ends_of = np.minimum(bounds[1:], bounds[:-1] + size)
+    out[out_bounds[few]] = hashing.span_hashes(words, bounds[few], ends_of[few])[:, 0] if len(few) else 0
+    return out, out_bounds, hashing.span_hashes(words, bounds[:-1], bounds[1:])
 
 
-_SIGNED = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("same", pa.int64()), ("grams", pa.binary())])
+def texts_of(whole: np.ndarray, some: np.ndarray) -> pa.Array:
+    """The 128-bit hashes as binary, null where a text has no words."""
+    raw = pa.array(np.ascontiguousarray(whole).view("V16").ravel().tolist() if len(whole) else [], pa.binary())
+    return pa.compute.if_else(pa.array(some), raw, pa.scalar(None, pa.binary()))
+
+
+_SIGNED = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SETS = pa.schema([("same", pa.binary()), ("grams", pa.binary())])
 
 
 def _sign(size: int, rows: int, bands: int):
+    """Every row's id, the hash of its words (null if it has none) and its band keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = common.flat(batch.column(1))
             own = common.ids(batch.column(0))
             for i, j in common.groups(offs, 1 << 19):
                 grams, bounds, whole = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
-                has = np.flatnonzero(np.diff(bounds) > 0)
-                if not len(has):
-                    continue
+                some = np.diff(bounds) > 0
+                has = np.flatnonzero(some)
                 sig = signatures(grams, bounds, rows * bands)[has].view(np.uint64).reshape(len(has), bands, rows)
                 key = np.zeros((len(has), bands), np.uint64) + hashing.mix(np.arange(bands, dtype=np.uint64))
                 for r in range(rows):
                     key = hashing.mix(key ^ sig[:, :, r])
-                lists = pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32), key.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(own[i:j][has]), pa.array(whole[has].view(np.int64)), lists], schema=_SIGNED)
+                ends = np.concatenate([[0], np.cumsum(some) * bands]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, key.view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(own[i:j]), texts_of(whole, some), lists], schema=_SIGNED)
 
     return run
 
@@ -142,11 +147,29 @@ def _sign(size: int, rows: int, bands: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = common.flat(batch.column(1))
+            data, offs = common.flat(batch.column(0))
             for i, j in common.groups(offs, 1 << 20):
                 grams, bounds, whole = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
                 sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(sets, pa.binary())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([texts_of(whole, np.diff(bounds) > 0), pa.array(sets, pa.binary())], schema=_SETS)
+
+    return run
+
+
+def _named(schema: pa.Schema):
+    """Rows (text, more) with the hash of the text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = common.flat(batch.column(0))
+            found = []
+            for i, j in common.groups(offs, 1 << 20):
+                piece = data[offs[i] : offs[j]]
+                starts, ends, bounds = hashing.word_spans(piece, offs[i : j + 1] - offs[i])
+                words = hashing.word_hashes(piece, starts, ends)
+                found.append(texts_of(hashing.span_hashes(words, bounds[:-1], bounds[1:]), np.diff(bounds) > 0))
+            same = pa.concat_arrays(found) if found else pa.array([], pa.binary())
+            yield pa.RecordBatch.from_arrays([same, *batch.columns], names=["same", *batch.schema.names])
 
     return run
 
@@ -160,7 +183,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, grams_a, grams_b to a, b, similarity."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
     for batch in batches:
         x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         found = [jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
@@ -168,74 +191,66 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block(similarity: float):
-    """One block of a bucket against another: links between components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """One block of a bucket against another: links between components, as pairs of their roots."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(t: pa.Table) -> pa.Table:
-        side, ids, roots = (t.column(c).to_numpy() for c in ("side", "id", "root"))
-        far = t.column("far").to_numpy()
+        side, far = t.column("side").to_numpy(), t.column("far").to_numpy()
+        names = t.column("root").combine_chunks().dictionary_encode()
+        names = names if isinstance(names, pa.DictionaryArray) else names.combine_chunks()
+        roots, names = names.indices.to_numpy(), names.dictionary
         sets = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
+        size = np.array([len(x) for x in sets])
         same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
-        parent = {int(r): int(r) for r in roots}
+        parent = np.arange(len(names))
 
-        def top(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+        def tops() -> np.ndarray:
+            while (parent[parent] != parent).any():
+                parent[:] = parent[parent]
+            return parent
 
         a, b = [], []
-        for i in left:
-            for j in right:
-                if same and j <= i or abs(far[i] - far[j]) > 1 - similarity + 1e-9:
-                    continue
-                p, q = top(int(roots[i])), top(int(roots[j]))
-                m, n = len(sets[i]), len(sets[j])
-                if p != q and min(m, n) >= similarity * max(m, n) and jaccard(sets[i], sets[j]) >= similarity:
+        for k, i in enumerate(left):
+            rest = right[k + 1 :] if same else right
+            top = tops()
+            near = np.abs(far[rest] - far[i]) <= 1 - similarity + 1e-9
+            near &= np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9
+            for j in rest[near & (top[roots[rest]] != top[roots[i]])]:
+                p, q = tops()[roots[i]], parent[roots[j]]
+                if p != q and jaccard(sets[i], sets[j]) >= similarity:
                     parent[max(p, q)] = min(p, q)
-                    a.append(int(ids[i]))
-                    b.append(int(ids[j]))
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                    a.append(roots[i])
+                    b.append(roots[j])
+        return pa.Table.from_arrays([names.take(pa.array(x, pa.int32())) for x in (a, b)], schema=schema)
 
     return run
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, class_id of every row: the least doc_id of its component.
-
-    Links: Jaccard similarity of the sets of size-word runs (words [^\\x20\\x09-\\x0D]+, unchanged; a text
-    of fewer words is one run) of at least similarity. Null, empty and blank texts link with nothing. Equal
-    texts link whatever their length. Rows with the same doc_id are one document with each of its texts. A
-    null doc_id is smaller than any other and stays null. Repeated rows give a row each.
-    """
+def _classes(docs: DataFrame, similarity: float, size: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's id and text (id, same), and the class of every text (same, class_id, rep)."""
     spark = docs.sparkSession
     common.ship(spark)
     docs = common.slim(docs, "doc_id", "text")
-    signed = common.settled(docs.mapInArrow(_sign(size, rows, bands), "id long, same long, bands array<long>"))
+    signed = common.settled(docs.mapInArrow(_sign(size, rows, bands), "id long, same binary, bands array<long>"))
     # a node is a text's words; it has the least id that has it
-    lead = common.settled(signed.groupBy("same").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
-    held = lead.select("rep", "same", F.explode("bands").alias("key"))
-    firsts = held.groupBy("key").agg(F.min_by("same", F.struct("rep", "same")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    lead = common.settled(signed.where("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
+    held = lead.select("same", F.explode("bands").alias("key"))
+    firsts = held.groupBy("key").agg(F.min("same").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = common.settled(held.join(firsts, "key"))
     pairs = buckets.where("same <> first").select(F.col("same").alias("a"), F.col("first").alias("b")).distinct()
-    needed = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), "text").join(needed, "id", "left_semi")
-    sets = common.settled(texts.mapInArrow(_sets(size), "same long, grams binary").groupBy("same").agg(F.any_value("grams").alias("grams")))
+    needed = lead.join(buckets.select("same").distinct(), "same", "left_semi").select(F.col("rep").alias("id"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), "text").join(needed, "id", "left_semi").select("text")
+    sets = common.settled(texts.mapInArrow(_sets(size), "same binary, grams binary").where("same IS NOT NULL").groupBy("same").agg(F.any_value("grams").alias("grams")))
     checked = (
         pairs.join(sets.select(F.col("same").alias("a"), F.col("grams").alias("ga")), "a")
         .join(sets.select(F.col("same").alias("b"), F.col("grams").alias("gb")), "b")
         .select("a", "b", "ga", "gb")
-        .mapInArrow(_verify, "a long, b long, similarity double")
+        .mapInArrow(_verify, "a binary, b binary, similarity double")
     )
     checked = common.settled(checked)
-    links = checked.where(F.col("similarity") >= similarity).select("a", "b")
-    # several texts of one id are one document
-    owners = signed.select("id", "same").distinct()
-    shared = owners.groupBy("id").agg(F.min("same").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "b")
-    links = links.unionByName(owners.join(shared, "id").select(F.col("same").alias("a"), "b"))
-    found = connected(links)
+    found = connected(checked.where(F.col("similarity") >= similarity).select("a", "b"))
     # buckets with several components
     placed = buckets.join(found.withColumnRenamed("id", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     several = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
@@ -244,28 +259,63 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     open_ = placed.join(several.where("n > 2").select("key", "n"), "key").join(far, ["same", "first"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
     open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    open_ = open_.select("key", F.col("same").alias("id"), "root", "far", "own", F.explode(others).alias("other"))
-    open_ = open_.select("key", "id", "root", "far", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = open_.join(sets.withColumnRenamed("same", "id"), "id").groupBy("key", "bi", "bj").applyInArrow(_block(similarity), "a long, b long")
+    open_ = open_.select("key", "same", "root", "far", "own", F.explode(others).alias("other"))
+    open_ = open_.select("key", "same", "root", "far", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    more = open_.join(sets, "same").groupBy("key", "bi", "bj").applyInArrow(_block(similarity), "a binary, b binary")
     more = common.settled(more.distinct())
-    if not more.isEmpty():
-        found = connected(links.unionByName(more))
     nodes = lead.select("same", "rep").join(found.withColumnRenamed("id", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    nodes = nodes.join(nodes.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("same", "class_id")
-    placed = owners.join(nodes, "same").groupBy("id").agg(F.min("class_id").alias("class_id"))
-    out = docs.select("doc_id", F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id")).join(placed, "id", "left")
-    class_id = F.coalesce("class_id", "id")
-    return out.select("doc_id", F.when(class_id != common.NULL_ID, class_id).alias("class_id"))
+    if not more.isEmpty():  # components that have become one
+        joined = connected(more).select(F.col("id").alias("root"), F.col("root").alias("top"))
+        nodes = nodes.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    nodes = common.settled(nodes)
+    nodes = nodes.join(nodes.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("same", "rep", "root", "class_id")
+    return signed.select("id", "same"), nodes
+
+
+def _real(c: str):
+    return F.when(F.col(c) != common.NULL_ID, F.col(c))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """doc_id, class_id of every row: the least doc_id of the component of its text.
+
+    Links: Jaccard similarity of the sets of size-word runs (words [^\\x20\\x09-\\x0D]+, unchanged; a text
+    of fewer words is one run) of at least similarity. Null, empty and blank texts link with nothing. Equal
+    texts link whatever their length. Rows that share a doc_id are rows of their own: unlike texts are not
+    linked by it. A null doc_id is smaller than any other and stays null. Repeated rows give a row each.
+    """
+    rows_, nodes = _classes(docs, similarity, size, rows, bands)
+    out = rows_.join(nodes.select("same", "class_id"), "same", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    return out.select(_real("id").alias("doc_id"), _real("class_id").alias("class_id"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the least doc_id, with the columns of docs."""
-    found = classes(docs)
-    later = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    """One row of each class, that with the least doc_id and then the least hash of its words, with the
+    columns of docs; rows without words all stay.
+
+    Of rows that agree in doc_id and words, of which a class may keep one, that with the least hash of all
+    columns stays. Columns may have any names.
+    """
+    rows_, nodes = _classes(docs, SIMILARITY, SHINGLE, ROWS, BANDS)
+    has = rows_.where("same IS NOT NULL")
+    placed = has.groupBy("id", "same").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("same", "root"), "same")
+    best = placed.groupBy("root").agg(F.min(F.struct("id", "same")).alias("best"))
+    placed = common.settled(placed.join(best, "root").withColumn("stays", (F.col("best.id") == F.col("id")) & (F.col("best.same") == F.col("same"))))
+    lost = placed.where("NOT stays").select("id", "same")
+    again = placed.where("stays AND n > 1").select("id", "same")
+    rest = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("id"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"))
+    schema = f"same binary, text string, id long, rest {rest.schema['rest'].dataType.simpleString()}"
+    named = rest.mapInArrow(_named(rest.schema), schema).join(lost, ["id", "same"], "left_anti")
+    if not again.isEmpty():
+        twice = named.join(again, ["id", "same"], "left_semi")
+        # by another key than the join's, so that rows are brought together before their exchange
+        one = twice.groupBy(F.concat(F.hex("same"), F.lit("/"), F.col("id").cast("string")).alias("row")).agg(F.min_by(F.struct("text", "rest"), F.xxhash64("text", "rest")).alias("one"))
+        named = named.join(again, ["id", "same"], "left_anti").select("text", "rest").unionByName(one.select("one.text", "one.rest"))
+    return named.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """kept: whether the row's doc_id is its class's, as of unique ids one of each class is."""
     return classes(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 

@@ -13,9 +13,12 @@ one task, and no window travels alone:
 4. A solver (suffix_array, suffix_tree) finds the windows that start earlier.
 5. Each document gets its spans.
 
+A content is settled by a key's 64 bits and 96 bits of another hash, neither of which has structure.
 A row is known by its doc_id and a hash of its text. Rows that agree in both are one document, so equal
 rows get equal results; rows that share only the doc_id are ordered by that hash. A null doc_id is the
-smallest.
+smallest. Documents are dealt out by a hash of both, over as many parts as keep one part's texts near
+PART bytes; keys are dealt out over the same parts. Parts are numbered so that, as long as there are no
+more of them than tasks, no two share a task.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ WIDE = 2048
 #: Bytes of text from which a map task gathers runs before it deals them out: at least the first; more with
 #: more destinations, so that each gets many runs at once; at most the last.
 FLUSH, FLUSH_EACH, FLUSH_MOST = 4 << 20, 16 << 10, 64 << 20
+#: Bytes of text in a part.
+PART = 64 << 20
 
 PACKED = "part int, blob binary"
 _PACKED = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
@@ -89,19 +94,32 @@ def blobs(table: pa.Table) -> list[list[np.ndarray]]:
 
 
 def text_hashes(raw: bytes, offs: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for a string column."""
     view = memoryview(raw)
-    return np.array([xxhash.xxh3_64_intdigest(view[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(view[offs[i] : offs[i + 1]], 42) for i in range(len(offs) - 1)], np.uint64)
 
 
 def values_of(data: np.ndarray, offs: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     if not kind.words:
-        return hashing.BYTE_VALUES[data], offs
+        return data, offs
     starts, ends, bounds = hashing.word_spans(data, offs)
     return hashing.word_hashes(data, starts, ends), bounds
 
 
-def destination(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
+def slots(n: int, tasks: int) -> np.ndarray:
+    """n numbers of parts that Spark's hash of an int deals evenly over tasks."""
+    own = np.arange(3 * n + 40 * tasks + 400)
+    task = hashing.spark_hash_int(own) % tasks
+    order = np.argsort(task, kind="stable")
+    begin = np.searchsorted(task[order], np.arange(tasks))
+    turn = np.empty(len(own), np.int64)
+    turn[order] = np.arange(len(own)) - begin[task[order]]
+    best = np.lexsort((task, turn))[:n]
+    return own[best].astype(np.int32)
+
+
+def destination(keys: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return to[((keys >> np.uint64(40)) % np.uint64(len(to))).astype(np.int64)]
 
 
 def split(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -113,14 +131,14 @@ def split(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(parts[own[0]]), own
 
 
-def home(doc: np.ndarray, n: int) -> np.ndarray:
-    return np.mod(doc, n).astype(np.int32)
+def home(doc: np.ndarray, th: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return to[np.mod(hashing.spark_hash(doc, th.view(np.int64)), len(to))]
 
 
-def first_pass(kind: Kind, n: int) -> Callable:
+def first_pass(kind: Kind, to: np.ndarray) -> Callable:
     """Documents to packed runs: key, content, document of a small table, first start, starts."""
 
-    limit = min(FLUSH_MOST, max(FLUSH, n * FLUSH_EACH))
+    limit = min(FLUSH_MOST, max(FLUSH, len(to) * FLUSH_EACH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -142,21 +160,21 @@ def first_pass(kind: Kind, n: int) -> Callable:
             o = np.lexsort((first, at))
             o = o[~again[at[o]]]
             key, content, at, first, count = key[o], content[o], at[o], first[o], count[o]
-            o = np.argsort(content, kind="stable")
-            start = np.concatenate([[True], content[o][1:] != content[o][:-1]]) if len(o) else np.zeros(0, bool)
+            o = np.argsort(content[:, 0], kind="stable")
+            start = np.concatenate([[True], (content[o][1:] != content[o][:-1]).any(1)]) if len(o) else np.zeros(0, bool)
             lead = o[np.maximum.accumulate(np.where(start, np.arange(len(o)), 0))] if len(o) else o
             settled = np.zeros(len(o), bool)
             settled[o] = later(doc, th, at[o], at[lead], kind) & ~start
             rows = []
-            for p, own in split(destination(key, n)):
+            for p, own in split(destination(key, to)):
                 own = own[~settled[own]]
                 if len(own):
                     used, local = np.unique(at[own], return_inverse=True)
-                    rows.append((p, pack(k=key[own], c=content[own], d=doc[used], t=th[used], a=local.astype(np.uint32), f=first[own].astype(np.uint32 if len(first) == 0 or first.max() < 2**32 else np.int64), n=count[own].astype(np.uint32))))
+                    rows.append((p, b"R" + pack(k=key[own], c=content[own, 0], e=content[own, 1].astype(np.uint32), d=doc[used], t=th[used], a=local.astype(np.uint32), f=first[own].astype(np.uint32 if len(first) == 0 or first.max() < 2**32 else np.int64), n=count[own].astype(np.uint32))))
             done = np.flatnonzero(settled)
-            for p, own in split(home(doc[at[done]], n)):
+            for p, own in split(home(doc[at[done]], th[at[done]], to)):
                 own = done[own]
-                rows.append((-1 - p, pack_spans(doc[at[own]], th[at[own]], first[own], count[own] >> 1)))
+                rows.append((p, b"S" + pack_spans(doc[at[own]], th[at[own]], first[own], count[own] >> 1)))
             held.clear()
             return packed(rows)
 
@@ -194,38 +212,40 @@ def pack_wanted(doc, th, first, count, key, wide) -> bytes:
     return pack(d=doc, t=th, f=first.astype(np.int64), n=count.astype(np.int64), k=key, w=wide.astype(np.uint8))
 
 
-def meet(kind: Kind, n: int) -> Callable:
+def meet(kind: Kind, to: np.ndarray) -> Callable:
     """All runs of some keys: settled spans, and runs whose values must be compared."""
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        if part < 0:  # settled in its own batch
-            return pa.Table.from_batches([packed([(-1 - part, b"S" + b) for b in t.column("blob").to_pylist()])])
-        got = blobs(t)
-        key, content, count, first = (np.concatenate([g[i] for g in got]) for i in (0, 1, 6, 5))
+        held = [b for b in t.column("blob").to_pylist() if b]
+        rows = [(part, b) for b in held if b[:1] == b"S"]  # settled in its own batch
+        got = [unpack(b[1:]) for b in held if b[:1] == b"R"]
+        del held
+        if not got:
+            return pa.Table.from_batches([packed(rows)])
+        key, content, low, count, first = (np.concatenate([g[i] for g in got]) for i in (0, 1, 2, 7, 6))
         first, count, inner = first.astype(np.int64), count.astype(np.int64) >> 1, (count & 1).astype(bool)
-        doc = np.concatenate([g[2][g[4]] for g in got])
-        th = np.concatenate([g[3][g[4]] for g in got])
+        doc = np.concatenate([g[3][g[5]] for g in got])
+        th = np.concatenate([g[4][g[5]] for g in got])
         del got
-        o = np.lexsort((first, th, doc, content, key))
+        o = np.lexsort((first, th, doc, low, content, key))
         # a run that another task sent too, of an equal row, is the same run
         again = np.zeros(len(o), bool)
-        again[1:] = np.logical_and.reduce([x[o][1:] == x[o][:-1] for x in (key, content, doc, th, first)])
+        again[1:] = np.logical_and.reduce([x[o][1:] == x[o][:-1] for x in (key, content, low, doc, th, first)])
         o = o[~again]
-        key, content, doc, th, first, count, inner = (x[o] for x in (key, content, doc, th, first, count, inner))
+        key, content, low, doc, th, first, count, inner = (x[o] for x in (key, content, low, doc, th, first, count, inner))
         same_key = np.concatenate([[False], key[1:] == key[:-1]])
         same = same_key.copy()
-        same[1:] &= content[1:] == content[:-1]
+        same[1:] &= (content[1:] == content[:-1]) & (low[1:] == low[:-1])
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
         settled = same & (np.ones(len(key), bool) if kind.same_document else doc > doc[lead])
         group = np.cumsum(~same_key) - 1
         contents = np.bincount(group, weights=~same).astype(np.int64) if len(group) else np.zeros(0, np.int64)
         ask = ~settled & ((contents[group] > 1) | inner)
-        rows = []
-        for p, own in split(home(doc[settled], n)):
+        for p, own in split(home(doc[settled], th[settled], to)):
             own = np.flatnonzero(settled)[own]
             rows.append((p, b"S" + pack_spans(doc[own], th[own], first[own], count[own])))
-        for p, own in split(home(doc[ask], n)):
+        for p, own in split(home(doc[ask], th[ask], to)):
             own = np.flatnonzero(ask)[own]
             rows.append((p, b"W" + pack_wanted(doc[own], th[own], first[own], count[own], key[own], contents[group[own]] > WIDE)))
         return pa.Table.from_batches([packed(rows)])
@@ -251,14 +271,20 @@ class Documents:
         self.order = np.argsort(self.name, kind="stable")
 
     def find(self, doc: np.ndarray, th: np.ndarray) -> np.ndarray:
-        """The position of one row of each; all rows that agree have the same text."""
-        return self.order[np.searchsorted(self.name[self.order], names(doc, th))]
+        """The position of the first row of each doc_id and text; all rows that agree have the same text."""
+        at = np.searchsorted(self.name[self.order], names(doc, th))
+        while True:
+            found = self.order[at]
+            other = (self.doc[found] != doc) | (self.th[found] != th)
+            if not other.any():
+                return found
+            at[other] += 1  # another document of the same name
 
     def text(self, i: int) -> np.ndarray:
         return self.data[self.offs[i] : self.offs[i + 1]]
 
 
-def cut_out(kind: Kind, n: int) -> Callable:
+def cut_out(kind: Kind, to: np.ndarray) -> Callable:
     """Documents and wanted runs to packed values by key."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -279,8 +305,7 @@ def cut_out(kind: Kind, n: int) -> Callable:
             f, c = int(first[x]), int(count[x])
             piece = values[f : f + c + kind.window - 1]
             if wide[x]:
-                v = piece if kind.words else hashing.BYTE_VALUES[piece]
-                k2, _, f2, n2, _ = hashing.territories(v, np.array([0, len(v)], np.int64), kind.window, kind.wide_gram)
+                k2, _, f2, n2, _ = hashing.territories(piece, np.array([0, len(piece)], np.int64), kind.window, kind.wide_gram)
             else:
                 k2, f2, n2 = key[x : x + 1], [0], [c]
             for kk, ff, nn in zip(k2, f2, n2, strict=True):
@@ -294,7 +319,7 @@ def cut_out(kind: Kind, n: int) -> Callable:
         ids_, ths = np.array(ids_, np.int64), np.array(ths, np.uint64)
         firsts, counts = np.array(firsts, np.int64), np.array(counts, np.int64)
         rows = []
-        for p, own in split(destination(keys, n)):
+        for p, own in split(destination(keys, to)):
             rows.append((p, pack(k=keys[own], d=ids_[own], t=ths[own], f=firsts[own], n=counts[own].astype(np.uint32), v=np.concatenate([pieces[i] for i in own]))))
         return pa.Table.from_batches([packed(rows)])
 
@@ -312,7 +337,7 @@ class Block:
     values: np.ndarray
 
 
-def solve(kind: Kind, n: int, solver: Callable[[Block, Kind], np.ndarray]) -> Callable:
+def solve(kind: Kind, to: np.ndarray, solver: Callable[[Block, Kind], np.ndarray]) -> Callable:
     """solver: which positions of values are starts of windows that also start earlier."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -333,7 +358,7 @@ def solve(kind: Kind, n: int, solver: Callable[[Block, Kind], np.ndarray]) -> Ca
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         seg = np.searchsorted(offs, lo, "right") - 1
         rows = []
-        for p, own in split(home(doc[seg], n)):
+        for p, own in split(home(doc[seg], th[seg], to)):
             s = seg[own]
             rows.append((p, b"S" + pack_spans(doc[s], th[s], first[s] + lo[own] - offs[s], hi[own] - lo[own])))
         return pa.Table.from_batches([packed(rows)])
@@ -357,19 +382,19 @@ def finish(kind: Kind, per_document: Callable, schema: pa.Schema, carry: bool) -
             return pa.schema([*schema, *more]).empty_table()
         docs = Documents(left)
         spans = [unpack(b[1:]) for b in right.column("blob").to_pylist() if b and b[:1] == b"S"]
-        name = docs.name
+        one = docs.find(docs.doc, docs.th)  # equal rows get the spans of one of them
         if spans:
             doc, th, first, count = (np.concatenate([s[i] for s in spans]) for i in range(4))
-            own = names(doc, th)
+            own = docs.find(doc, th)
             o = np.argsort(own, kind="stable")
             own = own[o]
-            lo, hi = np.searchsorted(own, name, "left"), np.searchsorted(own, name, "right")
+            lo, hi = np.searchsorted(own, one, "left"), np.searchsorted(own, one, "right")
             first, count = first[o], count[o]
         else:
             first = count = np.zeros(0, np.int64)
-            lo = hi = np.zeros(len(name), np.int64)
+            lo = hi = np.zeros(len(one), np.int64)
         raw = docs.data.tobytes()
-        rows = [per_document(raw[docs.offs[i] : docs.offs[i + 1]], first[lo[i] : hi[i]], count[lo[i] : hi[i]]) for i in range(len(name))]
+        rows = [per_document(raw[docs.offs[i] : docs.offs[i + 1]], first[lo[i] : hi[i]], count[lo[i] : hi[i]]) for i in range(len(one))]
         out = {"doc_id": docs.raw_ids.cast(pa.int64())}
         for k, f in enumerate(list(schema)[1:]):
             out[f.name] = pa.array([r[k] for r in rows], f.type)
@@ -387,18 +412,26 @@ def find(docs: DataFrame, kind: Kind, solver: Callable, per_document: Callable,
     """
     spark = docs.sparkSession
     common.ship(spark)
-    n = common.parts(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    to = slots(max(common.parts(spark), -(-size // PART)), common.parts(spark))
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[rest] * carry)
     docs = whole.select("doc_id", "text")
     if carry:
         ddl += f", text string, rest {whole.schema['rest'].dataType.simpleString()}"
-    runs = docs.mapInArrow(first_pass(kind, n), PACKED)
-    met = common.settled(runs.groupBy("part").applyInArrow(meet(kind, n), PACKED))
+    runs = docs.mapInArrow(first_pass(kind, to), PACKED)
+    met = common.settled(runs.groupBy("part").applyInArrow(meet(kind, to), PACKED))
     # one exchange of the texts serves both joins
-    homed = whole.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(common.NULL_ID)), F.lit(n)).cast("int")).repartition(n, "part")
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(common.NULL_ID)), F.xxhash64(F.coalesce("text", F.lit("")))), F.lit(len(to)))
+    part = F.element_at(F.array(*[F.lit(int(p)) for p in to]), (place + 1).cast("int")) if len(to) <= 1 << 12 else None
+    if part is None:  # too many for a literal: a short table
+        named = spark.createDataFrame([(i, int(p)) for i, p in enumerate(to)], "place long, part int")
+        homed = whole.withColumn("place", place).join(F.broadcast(named), "place").drop("place")
+    else:
+        homed = whole.withColumn("part", part)
+    homed = homed.repartition(common.parts(spark), "part")
     asked = met.where(F.substring("blob", 1, 1) == F.lit(b"W"))
-    values = homed.select("doc_id", "text", "part").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(cut_out(kind, n), PACKED)
-    found = values.groupBy("part").applyInArrow(solve(kind, n, solver), PACKED)
+    values = homed.select("doc_id", "text", "part").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(cut_out(kind, to), PACKED)
+    found = values.groupBy("part").applyInArrow(solve(kind, to, solver), PACKED)
     spans = met.where(F.substring("blob", 1, 1) == F.lit(b"S")).unionByName(found)
     return homed.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(finish(kind, per_document, schema, carry), ddl)

@@ -53,18 +53,19 @@ def staged(docs, kind, solver, row, schema, n=3, batch=4):
     blobs = lambda p, own: pa.table({"part": pa.array([p] * len(own), pa.int32()), "blob": pa.array(own, pa.binary())})
     texts = lambda x: pa.table({"doc_id": pa.array([d for d, _ in x], pa.int64()), "text": pa.array([t for _, t in x], pa.binary())})
     s1, s2, s3, homes = (defaultdict(list) for _ in range(4))
+    to = repeats.slots(n, 2)
     for half in (docs[::2], docs[1::2]):
         bs = [texts(half[i : i + batch]).to_batches()[0] for i in range(0, len(half), batch)]
-        for found in repeats.first_pass(kind, n)(iter(bs)):
+        for found in repeats.first_pass(kind, to)(iter(bs)):
             emit(s1, found)
     for p, own in s1.items():
-        emit(s2, repeats.meet(kind, n)(blobs(p, own)))
+        emit(s2, repeats.meet(kind, to)(blobs(p, own)))
     for d, t in docs:
-        homes[d % n].append((d, t))
+        homes[int(repeats.home(np.array([d]), repeats.text_hashes(t, np.array([0, len(t)])), to)[0])].append((d, t))
     for p, own in homes.items():
-        emit(s3, repeats.cut_out(kind, n)(texts(own), blobs(p, [b for b in s2[p] if b[:1] == b"W"])))
+        emit(s3, repeats.cut_out(kind, to)(texts(own), blobs(p, [b for b in s2[p] if b[:1] == b"W"])))
     for p, own in s3.items():
-        emit(s2, repeats.solve(kind, n, solver)(blobs(p, own)))
+        emit(s2, repeats.solve(kind, to, solver)(blobs(p, own)))
     out = []
     for p, own in homes.items():
         out += repeats.finish(kind, row, schema, False)(texts(own), blobs(p, [b for b in s2[p] if b[:1] == b"S"])).to_pylist()
@@ -104,6 +105,45 @@ def test_repeats(seed, monkeypatch):
     assert staged(docs, repeats.WORDS, suffix_tree.repeated, by_words, suffix_tree.SCHEMA) == brute_words(docs)
 
 
+def complement(n):
+    """Two words of n letters that hashes of sums of powers cannot tell apart: Thue-Morse and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 16, 32, 64, 1024, 2048, 4096])
+def test_regular_structure_does_not_collide(n):
+    a, b = (x.encode() for x in complement(n))
+    data = np.frombuffer(a + b, np.uint8)
+    h = hashing.word_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    v = np.array([5, 9], np.uint64)[data - 97]
+    for k in {min(8, n), min(16, n), min(32, n), n}:
+        assert hashing.grams_of(data[:n], k)[0] != hashing.grams_of(data[n:], k)[0] and hashing.grams_of(v[:n], k)[0] != hashing.grams_of(v[n:], k)[0]
+    few = " ".join(f"w{i}" for i in range(10))
+    docs = [(1, f"{few} {a.decode()} {few}".encode()), (2, f"{few} {b.decode()} {few}".encode())]
+
+    def by_words(text, first, count):
+        m, removed, kept = suffix_tree.kept_words(text, first, count)
+        return m, removed, hashlib.sha256(kept).hexdigest(), None
+
+    assert staged(docs, repeats.WORDS, suffix_tree.repeated, by_words, suffix_tree.SCHEMA) == brute_words(docs)
+    sets, bounds, same = dartminhash.shingles(np.frombuffer(docs[0][1] + docs[1][1], np.uint8), np.array([0, len(docs[0][1]), 2 * len(docs[0][1])]))
+    assert not np.array_equal(sets[: bounds[1]], sets[bounds[1] :]) and (same[0] != same[1]).any()
+
+
+def test_grams_and_spans_are_of_their_values_only():
+    rng = np.random.default_rng(0)
+    for v in (rng.integers(0, 3, 400).astype(np.uint8), rng.integers(0, 3, 400).astype(np.uint64)):
+        for k in (1, 5, 8, 13, 32, 72):
+            h = hashing.grams_of(v, k)
+            by = defaultdict(set)
+            for i in range(len(v) - k + 1):
+                by[v[i : i + k].tobytes()].add(int(h[i]))
+            assert all(len(x) == 1 for x in by.values()) and len({x for s in by.values() for x in s}) == len(by)
+            assert np.array_equal(hashing.gram_hashes(v, k), h)
+
+
 def test_difference_cover():
     d = suffix_array.difference_cover(64)
     assert {(int(a) - int(b)) % 64 for a in d for b in d} == set(range(64))
