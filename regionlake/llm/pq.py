@@ -3,22 +3,27 @@
 Vectors are scaled to length 1 and fall into coarse inverted lists; the residual from a list's centre is
 coded by one byte in each subspace. A query scans the lists that can hold a neighbour: a vector of
 another list lies beyond the plane halfway between the two centres, so a list is left out when that plane
-is farther than any neighbour. (With finite sigmas it is left out beyond so many standard deviations of a
-neighbour's offset in a random direction; below sqrt(dimension) that loses links.) Scanning sums table entries;
-a code whose sum plus its own quantisation error reaches the threshold is compared exactly, in double
-precision, so nothing that is scanned is lost and nothing below the threshold is reported.
-
-Equal vectors are one, with a count. Lists are cut into blocks of bounded size. A block returns a row for
-each vector it has links for, not one for each pair: numbers of links and a spanning forest.
+is farther than any neighbour is likely to reach. How far that is follows from how much the residuals of
+the list spread in the plane's direction, from the widest reach of neighbours in the fitting sample, and
+never exceeds the exact bound. Scanning sums table entries; a code whose sum plus its own quantisation
+error reaches the threshold is compared exactly, in double precision: nothing that is scanned is lost and
+nothing below the threshold is reported.
+
+The index is written once, as blocks of lists in order; every task reads pairs of blocks. So memory is
+that of two blocks, nothing is shipped once for each probe, and a crowded list is only more blocks.
+Vectors of each dimension have an index of their own. Equal vectors are one, with a count. A pair of
+blocks returns a row for each vector it has links for, not one for each link.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +32,17 @@ from . import common
 from .components import connected
 
 COSINE = 0.9
-#: The index is fitted on at most so many vectors, chosen by a hash of vec_id.
-SAMPLE = 8192
-LISTS, SUBSPACES, CODES, BLOCK = 64, 8, 256, 2048
-SIGMAS = float("inf")
-_QUERIES = 64
+#: An index is fitted on at most so many vectors, and so many bytes of them, chosen by a hash of vec_id.
+SAMPLE, SAMPLE_BYTES = 16384, 64 << 20
+#: Lists are as many as the root of the number of vectors, at most so many.
+LISTS = 1024
+SUBSPACES, CODES = 8, 256
+#: Vectors of a block; queries scanned together; blocks that a task's row names.
+BLOCK, QUERIES, RUN = 4096, 128, 16
+#: Standard deviations of a neighbour's offset towards another list that are probed.
+SIGMAS = 5.0
+#: Vectors of one dimension that are too few for an index.
+FEW = 256
 
 
 @dataclass
@@ -40,11 +51,16 @@ class Codebook:
     centres: np.ndarray  # lists x dim
     books: list[np.ndarray]  # of each subspace: codes x its dimensions
     bounds: list[int]  # of the subspaces
+    margin: np.ndarray | None = None  # list x list: planes nearer than this are crossed; None: all are
+    apart: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        c = (self.centres**2).sum(1)
+        self.apart = np.sqrt(np.maximum(c[:, None] + c[None, :] - 2 * self.centres @ self.centres.T, 1e-12)).astype(np.float32)
 
-    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest list of each vector, and all squared distances."""
-        d = 1 - 2 * (x @ self.centres.T) + (self.centres**2).sum(1)
-        return d.argmin(1), d
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances from all centres."""
+        return 1 - 2 * (x @ self.centres.T) + (self.centres**2).sum(1)
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rest = x - self.centres[own]
@@ -55,19 +71,26 @@ class Codebook:
             error += ((r - book[codes[:, m]]) ** 2).sum(1)
         return codes, np.sqrt(error)
 
-    def probes(self, own: np.ndarray, d: np.ndarray, margin: float) -> np.ndarray:
-        """Which lists each vector probes."""
-        c = (self.centres**2).sum(1)
-        apart = np.sqrt(np.maximum(c[:, None] + c[None, :] - 2 * self.centres @ self.centres.T, 1e-12))
-        plane = (d - d[np.arange(len(d)), own][:, None]) / (2 * apart[own])
-        return plane <= margin + 1e-9
+    def planes(self, d: np.ndarray, own: int, to: np.ndarray) -> np.ndarray:
+        """How far vectors of list own, with distances d, are from the planes to other lists."""
+        return (d[:, to] - d[:, [own]]) / (2 * self.apart[own, to])
+
+    def probes(self, d: np.ndarray, own: int, to: np.ndarray) -> np.ndarray:
+        """Which of the lists to each vector of list own probes."""
+        if self.margin is None:
+            return np.ones((len(d), len(to)), bool)
+        return (self.planes(d, own, to) <= self.margin[own, to] + 1e-6) | (to == own)
+
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """Of each subspace: code x query."""
+        return [(book @ x[:, a:b].T).astype(np.float32) for book, a, b in zip(self.books, self.bounds, self.bounds[1:], strict=False)]
 
 
-def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+        own = np.concatenate([((centres**2).sum(1) - 2 * x[a : a + 4096] @ centres.T).argmin(1) for a in range(0, len(x), 4096)])
         size = np.bincount(own, minlength=k)
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
@@ -78,24 +101,61 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return centres
 
 
-def fit(x: np.ndarray, lists: int, subspaces: int = SUBSPACES, seed: int = 3) -> Codebook:
+def _margins(book: Codebook, x: np.ndarray, own: np.ndarray, cosine: float, sigmas: float) -> np.ndarray:
+    """For two lists, how near the plane between them a query of the one must be to probe the other."""
+    exact = np.sqrt(2 - 2 * cosine)
+    k = len(book.centres)
+    spread = np.zeros((k, k))  # share of the residuals' variance towards the other list
+    rest = x - book.centres[own]
+    for i in range(k):
+        r = rest[own == i]
+        if len(r) < 4:
+            spread[i] = 1
+            continue
+        towards = (book.centres[i] - book.centres) / book.apart[i][:, None]
+        spread[i] = ((r @ towards.T) ** 2).mean(0) / max((r**2).sum(1).mean(), 1e-12)
+    share = np.maximum(spread, spread.T)
+    reach = sigmas * np.sqrt((2 - 2 * cosine) * share)
+    # neighbours inside the sample: how far they do reach
+    seen = 0.0
+    some = x[:8192]
+    for a in range(0, len(some), 512):
+        i, j = np.nonzero(some[a : a + 512] @ some.T >= cosine)
+        i = i + a
+        i, j = i[own[i] != own[j]], j[own[i] != own[j]]
+        for at in range(0, len(i), 1 << 16):
+            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            near, far = ((some[p] - book.centres[own[p]]) ** 2).sum(1), ((some[p] - book.centres[own[q]]) ** 2).sum(1)
+            seen = max(seen, float(((far - near) / (2 * book.apart[own[p], own[q]])).max(initial=0)))
+    return np.minimum(np.maximum(reach, 1.3 * seen), exact).astype(np.float32)
+
+
+def fit(x: np.ndarray, lists: int, cosine: float = COSINE, sigmas: float = SIGMAS, subspaces: int = SUBSPACES, seed: int = 3) -> Codebook:
     rng = np.random.default_rng(seed)
     centres = kmeans(x, lists, rng)
+    centres = centres[np.argsort(centres @ (centres - centres.mean(0))[np.argmax(((centres - centres.mean(0)) ** 2).sum(1))])]
     book = Codebook(x.shape[1], centres, [], [])
-    rest = x - centres[book.assign(x)[0]]
+    own = book.far(x).argmin(1)
+    rest = x - centres[own]
     subspaces = min(subspaces, x.shape[1])
     book.bounds = [int(b) for b in np.linspace(0, x.shape[1], subspaces + 1)]
     book.books = [kmeans(np.ascontiguousarray(rest[:, a:b]), CODES, rng) for a, b in zip(book.bounds, book.bounds[1:], strict=False)]
+    book.margin = _margins(book, x, own, cosine, sigmas)
     return book
 
 
+def no_index(dim: int) -> Codebook:
+    """For few vectors: one list and one code, so that all pairs are compared."""
+    return Codebook(dim, np.zeros((1, dim)), [np.zeros((1, dim))], [0, dim])
+
+
 def units(raw: list[bytes], dim: int, wide: bool) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float64 if wide else np.float32).reshape(len(raw), dim).astype(np.float64)
     x = x / np.abs(x).max(1, initial=1e-300)[:, None]
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _valid(kind: type) -> object:
+def _valid(kind: type):
     schema = pa.schema([("vec_id", pa.int64()), ("same", pa.binary()), ("dim", pa.int32()), ("vec", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,88 +177,120 @@ def _valid(kind: type) -> object:
     return run
 
 
-_FILED = "list int, block int, side int, id long, n long, codes binary, error double, vec binary"
+_FILED = pa.schema([("dim", pa.int32()), ("list", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("error", pa.float64()), ("vec", pa.binary())])
 
 
-def _file(book: Codebook, blocks: np.ndarray, margin: float, wide: bool):
-    """Each vector once as data in its list, and as a query in every list from its own on that it probes."""
-    schema = pa.schema([("list", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()), ("error", pa.float64()), ("vec", pa.binary())])
+def _file(shared, wide: bool):
+    """rep, n, dim, vec to each vector's list, codes and error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                ids, n, raw = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
-                x = units(raw, book.dim, wide)
-                own, d = book.assign(x)
-                codes, error = book.encode(x, own)
-                block = np.mod(ids, blocks[own])
-                probed = book.probes(own, d, margin) & (np.arange(len(blocks))[None, :] >= own[:, None])
-                i, lists = np.nonzero(probed)
-                take, wanted = np.repeat(i, blocks[lists]), np.repeat(lists, blocks[lists])
-                sub = np.arange(len(take)) - np.repeat(np.cumsum(blocks[lists]) - blocks[lists], blocks[lists])
-                z = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([own, wanted]), pa.int32()),
-                        pa.array(np.concatenate([block, sub]), pa.int32()),
-                        pa.array(np.concatenate([np.ones(z), np.zeros(len(take))]).astype(np.int32)),
-                        pa.array(np.concatenate([ids, ids[take]])),
-                        pa.array(np.concatenate([n, n[take]])),
-                        pa.array([*[c.tobytes() for c in codes], *[None] * len(take)], pa.binary()),
-                        pa.array(np.concatenate([error, np.zeros(len(take))])),
-                        pa.array([*raw, *[raw[k] for k in take]], pa.binary()),
-                    ],
-                    schema=schema,
-                )
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims):
+                part, book = batch.filter(pa.array(dims == dim)), books[int(dim)]
+                for at in range(0, len(part), 1024):
+                    some = part.slice(at, 1024)
+                    x = units(some.column(3).to_pylist(), int(dim), wide)
+                    own = book.far(x).argmin(1)
+                    codes, error = book.encode(x, own)
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(2), pa.array(own, pa.int32()), some.column(0), some.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), some.column(3)], schema=_FILED
+                    )
 
     return run
 
 
-def scan(book: Codebook, which: int, queries: np.ndarray, codes: np.ndarray, error: np.ndarray, cosine: float) -> np.ndarray:
-    """Queries x codes: whether the table sum, with the code's error, reaches cosine."""
-    base = queries @ book.centres[which]
-    total = np.repeat(base[None, :], len(codes), 0)
-    for m, sub in enumerate(book.books):
-        table = sub @ queries[:, book.bounds[m] : book.bounds[m + 1]].T  # code x query
-        total += table[codes[:, m]]
-    return (total + error[:, None] >= cosine - 1e-7).T
-
+@dataclass
+class Piece:
+    """A block of the index: vectors in order of their lists."""
 
-def _link(book: Codebook, cosine: float, wide: bool):
+    dim: int
+    own: np.ndarray
+    ids: np.ndarray
+    n: np.ndarray
+    codes: np.ndarray
+    error: np.ndarray
+    x: np.ndarray
+
+
+def piece(t: pa.Table, wide: bool) -> Piece:
+    t = t.sort_by([("list", "ascending"), ("id", "ascending")])
+    dim = t.column("dim")[0].as_py()
+    codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(t), -1)
+    own, ids, n, error = (t.column(c).to_numpy() for c in ("list", "id", "n", "error"))
+    return Piece(dim, own, ids, n, codes, error.astype(np.float32), units(t.column("vec").to_pylist(), dim, wide))
+
+
+def scan(tables: list[np.ndarray], base: np.ndarray, codes: np.ndarray, error: np.ndarray, cosine: float) -> np.ndarray:
+    """Codes x queries: whether the table sum, with the code's error, reaches cosine."""
+    total = tables[0][codes[:, 0]]
+    total += (base + np.float32(1e-5 - cosine))[None, :]
+    for m in range(1, len(tables)):
+        total += tables[m][codes[:, m]]
+    return total >= -error[:, None]
+
+
+def links(book: Codebook, p: Piece, q: Piece, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (row of p, row of q), some at a time; no list of p stands behind one of q."""
+    names, begin = np.unique(q.own, return_index=True)
+    end = np.append(begin[1:], len(q.own))
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(p.own)) + 1, [len(p.own)]])
+    for s, stop in zip(starts[:-1], starts[1:], strict=True):
+        for a in range(s, stop, QUERIES):
+            x, own = p.x[a : min(stop, a + QUERIES)], int(p.own[a])
+            probed = book.probes(book.far(x), own, names) & (names >= own)
+            if not probed.any():
+                continue
+            tables = book.tables(x)
+            for k in np.flatnonzero(probed.any(0)):
+                lo, hi = begin[k], end[k]
+                base = (x @ book.centres[names[k]]).astype(np.float32)
+                j, i = np.nonzero(scan(tables, base, q.codes[lo:hi], q.error[lo:hi], cosine) & probed[:, k][None, :])
+                if same and names[k] == own:  # a pair of one list meets twice there: once is enough
+                    once = i + a < j + lo
+                    i, j = i[once], j[once]
+                for at in range(0, len(i), 8192):
+                    u, v = i[at : at + 8192], j[at : at + 8192] + lo
+                    hit = np.einsum("ij,ij->i", x[u], q.x[v]) >= cosine
+                    if hit.any():
+                        yield u[hit] + a, v[hit]
+
+
+def _link(path: str, shared, cosine: float, wide: bool):
     schema = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
-    def run(t: pa.Table) -> pa.Table:
-        which = t.column("list")[0].as_py()
-        side, ids, n = (t.column(c).to_numpy() for c in ("side", "id", "n"))
-        raw = t.column("vec").to_pylist()
-        data, query = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        if not len(data) or not len(query):
-            return schema.empty_table()
-        codes = np.frombuffer(b"".join(t.column("codes").take(pa.array(data)).to_pylist()), np.uint8).reshape(len(data), -1)
-        error = t.column("error").to_numpy()[data]
-        y = units([raw[i] for i in data], book.dim, wide)
-        nodes, node = np.unique(ids, return_inverse=True)
-        parent, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
-        for a in range(0, len(query), _QUERIES):
-            q = query[a : a + _QUERIES]
-            x = units([raw[i] for i in q], book.dim, wide)
-            i, j = np.nonzero(scan(book, which, x, codes, error, cosine))
-            # a pair of one list meets twice there: once is enough
-            own = book.assign(x)[0]
-            keep = (own[i] != which) | (ids[q][i] < ids[data][j])
-            i, j = i[keep], j[keep]
-            hit = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 4096]], y[j[s : s + 4096]]) >= cosine for s in range(0, len(i), 4096)] or [np.zeros(0, bool)])
-            i, j = i[hit], j[hit]
-            p, r = node[q][i], node[data][j]
-            np.add.at(links, p, n[data][j])
-            np.add.at(links, r, n[q][i])
-            for k in np.unique(i):  # all that one query reaches is one component
-                tops = np.unique(_tops(parent, np.concatenate([p[i == k][:1], r[i == k]])))
-                parent[tops] = tops[0]
-        roots = _tops(parent, np.arange(len(nodes)))
-        out = links > 0
-        return pa.Table.from_arrays([pa.array(nodes[out]), pa.array(nodes[roots[out]]), pa.array(links[out])], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        held: OrderedDict[int, Piece] = OrderedDict()
+
+        def load(b: int) -> Piece:
+            if b not in held:
+                if len(held) >= 3:
+                    held.popitem(last=False)
+                held[b] = piece(pa.parquet.read_table(f"{base}/block={b}", filesystem=store, partitioning=None), wide)
+            held.move_to_end(b)
+            return held[b]
+
+        for batch in batches:
+            for a, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for b in range(first, last + 1):
+                    p, q = load(a), load(b)
+                    nodes, node = np.unique(np.concatenate([p.ids, q.ids]), return_inverse=True)
+                    left, right = node[: len(p.ids)], node[len(p.ids) :]
+                    parent, count = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+                    for i, j in links(shared.value[p.dim], p, q, a == b, cosine):
+                        np.add.at(count, left[i], q.n[j])
+                        np.add.at(count, right[j], p.n[i])
+                        for k in np.unique(i):  # all that one query reaches is one component
+                            tops = np.unique(_tops(parent, np.concatenate([left[[k]], right[j[i == k]]])))
+                            parent[tops] = tops[0]
+                    out = count > 0
+                    if out.any():
+                        roots = _tops(parent, np.arange(len(nodes)))
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[roots[out]]), pa.array(count[out])], schema=schema)
 
     return run
 
@@ -212,50 +304,75 @@ def _tops(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = up
 
 
+def layout(sizes: dict[tuple[int, int], int], most: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Blocks of lists: (dim, list, first block, blocks) and, of each dimension, the bounds of its blocks.
+
+    Lists of a dimension are packed in order; a list of more than most vectors has blocks of its own.
+    """
+    placed, bounds, at = [], [], 0
+    for dim in sorted({d for d, _ in sizes}):
+        begin, held = at, 0
+        for _, which in sorted(k for k in sizes if k[0] == dim):
+            size = sizes[dim, which]
+            if size > most:
+                at += held > 0
+                own = -(-size // most)
+                placed.append((dim, which, at, own))
+                at, held = at + own, 0
+                continue
+            if held + size > most:
+                at, held = at + 1, 0
+            placed.append((dim, which, at, 1))
+            held += size
+        at += held > 0
+        bounds.append((begin, at))
+    return placed, bounds
+
+
 def near(vectors: DataFrame, cosine: float = COSINE, sigmas: float = SIGMAS, lists: int = LISTS) -> DataFrame:
     """vec_id, n_links, component_id of every row of vectors (vec_id, embedding).
 
-    Links: cosine, in double precision, of at least cosine. Null and zero vectors and those with null or
-    non-finite components link with nothing, nor do those whose dimension is not the most frequent one
-    (ties: the larger). Labels and other columns are ignored. component_id is the least vec_id reached.
-    Null ids count as the smallest and stay null; several vectors with one id are one node: their
-    links are added and their components are one. An empty table gives no rows.
+    Links: cosine, in double precision, of at least cosine, of vectors of one dimension. Null and zero
+    vectors and those with null or non-finite components link with nothing. Labels and other columns are
+    ignored. component_id is the least vec_id reached. Null ids count as the smallest and stay null;
+    several vectors with one id are one node: their links are added and their components are one. An
+    empty table gives no rows. sigmas: infinity leaves lists out only where no link can be.
     """
     spark = vectors.sparkSession
     common.ship(spark)
     wide = vectors.schema["embedding"].dataType.elementType.typeName() != "float"
-    kind = np.float64 if wide else np.float32
     slim = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(common.NULL_ID)).alias("vec_id"), F.col("embedding").cast("array<double>" if wide else "array<float>").alias("embedding"))
-    rows = common.settled(slim.mapInArrow(_valid(kind), "vec_id long, same binary, dim int, vec binary"))
-    dims = rows.where("vec is not null").groupBy("dim").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("dim")).first()
-    if dims is None:
-        none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return _with_nulls(none)
-    whole = rows.where(F.col("vec").isNotNull() & (F.col("dim") == dims["dim"]))
-    reps = common.settled(whole.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("vec").alias("vec")).drop("same"))
-    drawn = [r["vec"] for r in reps.orderBy(F.xxhash64("rep"), "rep").select("vec").limit(SAMPLE).collect()]
-    book = fit(units(drawn, dims["dim"], wide), max(1, min(lists, len(drawn) // 16)))
-    margin = float(min(np.sqrt(2 - 2 * cosine), sigmas * np.sqrt((2 - 2 * cosine) / dims["dim"])))
-
-    def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(0).to_pylist()
-            own = book.assign(units(raw, book.dim, wide))[0] if raw else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32())], ["list"])
-
-    size = np.zeros(len(book.centres), np.int64)
-    for r in reps.select("vec").mapInArrow(lists_of, "list int").groupBy("list").count().collect():  # a row a list
-        size[r["list"]] = r["count"]
-    blocks = np.maximum(1, -(-size // BLOCK))
-    filed = reps.select("rep", "n", "vec").mapInArrow(_file(book, blocks, margin, wide), _FILED)
-    found = common.settled(filed.groupBy("list", "block").applyInArrow(_link(book, cosine, wide), "id long, root long, links long"))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    rows = common.settled(slim.mapInArrow(_valid(np.float64 if wide else np.float32), "vec_id long, same binary, dim int, vec binary"))
+    whole = rows.where("vec IS NOT NULL")
+    reps = common.settled(whole.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec")).drop("same"))
+    books = {}
+    for r in reps.groupBy("dim").count().collect():  # a row a dimension
+        dim, many = r["dim"], r["count"]
+        if many < FEW:
+            books[dim] = no_index(dim)
+            continue
+        drawn = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep", "vec").select("vec").limit(min(SAMPLE, max(FEW, SAMPLE_BYTES // (8 * dim)))).collect()
+        books[dim] = fit(units([x["vec"] for x in drawn], dim, wide), max(1, min(lists, int(many**0.5), len(drawn) // 16)), cosine, sigmas)
+    if not books:
+        return _with_nulls(rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    shared = spark.sparkContext.broadcast(books)  # at most LISTS centres and their margins a dimension
+    filed = common.settled(reps.select("rep", "n", "dim", "vec").mapInArrow(_file(shared, wide), "dim int, list int, id long, n long, codes binary, error double, vec binary"))
+    sizes = {(r["dim"], r["list"]): r["count"] for r in filed.groupBy("dim", "list").count().collect()}  # a row a list
+    placed, bounds = layout(sizes, BLOCK)
+    of = F.broadcast(spark.createDataFrame(placed, "dim int, list int, first int, blocks int"))  # a row a list
+    path = common.fresh_path(spark, "pq-index")
+    block = (F.col("first") + F.pmod(F.xxhash64("id", "vec"), F.col("blocks"))).cast("int")
+    index = filed.join(of, ["dim", "list"]).withColumn("block", block).drop("first", "blocks")
+    index.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
+    pairs = [(a, b, min(b + RUN, stop) - 1) for begin, stop in bounds for a in range(begin, stop) for b in range(a, stop, RUN)]
+    work = spark.createDataFrame(pairs, "a int, first int, last int").repartition(min(len(pairs), 8 * common.parts(spark)), "a", "first")
+    found = common.settled(work.mapInArrow(_link(path, shared, cosine, wide), "id long, root long, links long"))
+    links_ = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = whole.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    named = named.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.join(links_.withColumnRenamed("id", "rep"), "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("same", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    usable = (F.col("dim") == dims["dim"]) & F.col("vec").isNotNull()
-    out = rows.select("vec_id", F.when(usable, F.col("same")).alias("same")).join(named, "same", "left")
+    out = rows.select("vec_id", F.when(F.col("vec").isNotNull(), F.col("same")).alias("same")).join(named, "same", "left")
     return _with_nulls(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")))
 
 

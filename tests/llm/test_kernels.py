@@ -333,15 +333,34 @@ def test_scan_loses_nothing():
     x[300:] = x[:300] + rng.normal(size=(300, 64)) * rng.uniform(0, 0.08, (300, 1)) * 8
     x /= np.linalg.norm(x, axis=1)[:, None]
     book = pq.fit(x, 8)
-    own, d = book.assign(x)
+    d = book.far(x)
+    own = d.argmin(1)
     codes, error = book.encode(x, own)
     exact = x @ x.T >= 0.9
-    probed = book.probes(own, d, np.sqrt(0.2))
     for k in range(8):
         inside = np.flatnonzero(own == k)
-        hit = pq.scan(book, k, x, codes[inside], error[inside], 0.9)
-        assert hit[exact[:, inside]].all()
-        assert probed[exact[:, inside].any(1), k].all()
+        base = (x @ book.centres[k]).astype(np.float32)
+        hit = pq.scan(book.tables(x), base, codes[inside], error[inside].astype(np.float32), 0.9)
+        assert hit.T[exact[:, inside]].all()
+        for i in range(8):
+            probed = book.probes(d[own == i], i, np.array([k]))[:, 0]
+            assert probed[exact[np.ix_(own == i, inside)].any(1)].all()
+
+
+def test_layout_keeps_lists_in_order():
+    rng = random.Random(0)
+    for _ in range(200):
+        sizes = {(d, k): rng.choice([1, 3, 9, 10, 11, 35]) for d in (2, 5) for k in range(rng.randrange(1, 9))}
+        placed, bounds = pq.layout(sizes, 10)
+        assert {(d, k) for d, k, _, _ in placed} == set(sizes)
+        held = defaultdict(int)
+        for d, k, first, blocks in placed:
+            assert blocks == max(1, -(-sizes[d, k] // 10))
+            for b in range(first, first + blocks):
+                held[b] += -(-sizes[d, k] // blocks)
+        assert max(held.values()) <= 10 and sorted(held) == list(range(bounds[-1][1]))
+        order = [f for d, _, f, _ in placed if d == 5]
+        assert order == sorted(order) and order[0] == bounds[-1][0]
 
 
 def test_classifier_learns_and_ignores_length():

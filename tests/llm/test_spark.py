@@ -166,15 +166,44 @@ def test_op2_odd(spark):
     assert pq.op2(df.where("vec_id = 99")).count() == 0 and pq.op2(df.where("vec_id = 5")).count() == 1
 
 
-def test_op2_vectors_of_low_rank(spark):
-    """Neighbours whose offsets lie in few directions: links against brute force."""
-    rng = np.random.default_rng(3)
-    x = (rng.standard_normal((4000, 3)) @ np.linalg.qr(rng.standard_normal((64, 3)))[0].T).astype(np.float32)
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+def brute_links(x):
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
-    want = (unit @ unit.T >= 0.9).sum(1) - 1
-    got = {r["vec_id"]: r["n_links"] for r in pq.op2(df).collect()}
-    assert sum(got.values()) == want.sum() and got == dict(enumerate(want.tolist()))
+    return unit @ unit.T >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["rank", "axis", "copies"])
+def test_op2_against_brute_force(spark, kind, monkeypatch):
+    """Neighbours whose offsets lie in few directions, crowded lists over several blocks."""
+    monkeypatch.setattr(pq, "BLOCK", 700)
+    rng = np.random.default_rng(3)
+    if kind == "rank":
+        x = rng.standard_normal((4000, 3)) @ np.linalg.qr(rng.standard_normal((64, 3)))[0].T
+    elif kind == "axis":
+        centre, way = rng.standard_normal((40, 64)), rng.standard_normal((40, 64))
+        of = rng.integers(0, 40, 3000)
+        x = centre[of] + way[of] * rng.uniform(-1, 1, (3000, 1)) + 0.02 * rng.standard_normal((3000, 64))
+    else:
+        x = np.concatenate([rng.standard_normal((1500, 64)), rng.standard_normal(64) + 0.15 * rng.standard_normal((1500, 64))])
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist(), 1, 2) for i, r in enumerate(x)], "vec_id long, embedding array<float>, list int, block int")
+    near = brute_links(x)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.op2(df).collect()}
+    assert [got[i][0] for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    root = np.arange(len(x))
+    while True:
+        least = np.array([root[r].min() for r in near])
+        if (least == root).all():
+            break
+        root = least
+    assert [got[i][1] for i in range(len(x))] == root.tolist()
+
+
+def test_op2_dimensions_and_repeated_ids(spark):
+    """Vectors of every dimension link among themselves; equal ids are one node."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 1.0, 0.1]), (6, [0.0, 0.0, 1.0]), (7, [2.0]), (8, [1.0]), (8, [0.0, 0.0, 2.0]), (9, [-1.0]), (10, [])]
+    df = spark.createDataFrame([(i, v, 1, 1, 1, 1, 1) for i, v in rows], "vec_id long, embedding array<double>, same int, dim int, n int, id int, root int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in pq.op2(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6), (8, 2, 6), (8, 2, 6), (9, 0, 9), (10, 0, 10)]
 
 
 def test_op3_odd(spark):
