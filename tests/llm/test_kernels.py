@@ -293,6 +293,96 @@ def test_unclosed_elements(tag):
     assert html_text.main_text(f"<article><p>{tag}{STORY}<p>{STORY}") == f"{STORY.strip()}\n\n{STORY.strip()}"
 
 
+POLISH = "To jest historia miasta i ludzi, którzy w nim mieszkają, a jest ona na tyle długa, żeby dało się ją przeczytać. " * 2
+FINNISH = "Tämä kaupunki sijaitsee pohjoisessa, ja siellä asuu paljon ihmisiä. Talvella sataa lunta joka päivä. " * 2
+JAPANESE = "これは町とそこに住む人々の物語であり、読むのに十分な長さがあります。冬には毎日雪が降ります。" * 2
+MENU = "<ul><li><a href=/a>One of the pages</a><li><a href=/b>Another page</a></ul>"
+
+
+@pytest.mark.parametrize("text", [POLISH, FINNISH, JAPANESE, STORY])
+def test_languages(text):
+    """Long paragraphs outside an article, in languages with and without a list of stop-words."""
+    assert html_text.main_text(f"<body>{MENU}<div><p>{text}<p>{text}</div><div class=sidebar>{MENU}</div><footer>{text}</footer>") == f"{text.strip()}\n\n{text.strip()}"
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='single-post has-sidebar'><div><p>{0}</div>", "<html class='no-js cookie'><body><div><p>{0}</div>", "<article class='post ad-free'><p>{0}</article>",
+    "<article class='post share-enabled'><p>{0}</article>", "<div id='top'><div class=menu>{1}</div><p>{0}</div>", "<nav><ul>{1}<article><p>{0}</article>", "<nav>{1}<main><p>{0}</main>",
+    "<form id=aspnet><div class='wrapper has-sidebar'>{1}<div class='inner'><p>{0}</div><div class=sidebar>{1}</div></div></form>", "<header><div class=menu>{1}</div><article><p>{0}</article>",
+    "<div id=top><div class='with-sidebar'><p>{0}</div></div><div class=comments><p>I do not think so. It was not at all what we came here for, and it is the end of it.</p></div>",
+])
+def test_hints_do_not_empty_a_page(page):
+    assert html_text.main_text(page.format(STORY, MENU)) == STORY.strip()
+
+
+def test_facts_beside_running_text():
+    facts = "Name Length Width Height Weight Year Colour Number Maker Owner Place Country Street"
+    assert html_text.main_text(f"<div><p>{STORY}<p>{facts}<p>{STORY}</div>") == f"{STORY.strip()}\n\n{facts}\n\n{STORY.strip()}"
+
+
+@pytest.mark.parametrize("unit", [
+    "<a ", "<a href='", '<a href="', "<a href='x\"", "<i>", "<b><i></b>", "<div>", "<p class='x", "<button>", "<a name=x>", "<!--", "<![", "</", "<a b='c\">", "<script>", "< ", "<li><ul>", "<div class=sidebar>", "<article>",
+    "<nav><article>", "<x class=\"", "<svg a='><b c=\"'>", "&amp", "<a x=' y=\" ", "<p =' ", "</i>", "<form><i></form>",
+])
+def test_broken_pages_take_time_in_proportion(unit):
+    """A megabyte of broken markup, and that it is not much dearer than half of it."""
+    import time
+
+    def seconds(size):
+        start = time.perf_counter()
+        html_text.main_text("<p>" + unit * (size // len(unit)) + "<i></b>" * (size // 70))
+        return time.perf_counter() - start
+
+    small = min(seconds(125_000) for _ in range(2))
+    assert seconds(1_000_000) < max(1.0, 24 * small) and small < 2.0
+
+
+class PlainPage(__import__("html.parser").parser.HTMLParser):
+    """The text of an article's blocks, by another parser and the generated pages' own layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.held, self.article, self.skip = [], [], False, 0
+
+    def cut(self):
+        whole = " ".join("".join(self.held).split())
+        if whole and self.article:
+            self.found.append(whole)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "article", "div", "li", "ul", "nav", "footer"):
+            self.cut()
+        if tag == "br":
+            self.held.append(" ")
+        self.article |= tag == "article"
+        self.skip += tag in ("div", "nav", "footer")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article", "div", "li", "ul", "nav", "footer"):
+            self.cut()
+        self.article &= tag != "article"
+        self.skip -= tag in ("div", "nav", "footer")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.held.append(data)
+
+
+def test_pages_against_another_parser():
+    import duckdb
+    from conftest import DATA
+
+    pages = duckdb.execute(f"SELECT html FROM '{DATA}/pages.parquet' WHERE html IS NOT NULL").fetchall()
+    assert len(pages) > 20
+    for (page,) in pages:
+        plain = PlainPage()
+        plain.feed(page)
+        plain.close()
+        plain.cut()
+        assert html_text.main_text(page) == "\n\n".join(plain.found)
+
+
 def test_names_condemn_other_articles():
     """Articles of a list of comments or of teasers stay out, beside the page's own and without one."""
     talk = f"<div class=comments><article><p>{TALK}</article></div>"
