@@ -469,6 +469,100 @@ def test_classifier_learns_and_ignores_length():
     assert ((s >= 0) & (s <= 1)).all()
 
 
+def plain_logit(model, text):
+    """The forward pass word by word, window by window."""
+    words = decontaminate.normal_words(text)
+    vectors = []
+    for w in words:
+        v = np.zeros(toxicity.DIM)
+        for k, cut in enumerate((None, *toxicity.PREFIXES)):
+            part = np.frombuffer(w if cut is None else w[:cut], np.uint8)
+            h = hashing.word_hashes(part, np.array([0]), np.array([len(part)])) + np.uint64(k)
+            v += model.embed[int(hashing.mix(h)[0]) % 2**64 >> 64 - toxicity.BUCKETS.bit_length() + 1]
+        vectors.append(v)
+    z, f = float(model.offset[0]), 0
+    for width in toxicity.WIDTHS:
+        for _ in range(toxicity.FILTERS):
+            best = None
+            for at in range(max(1, len(words))):
+                r = 0.0
+                for j in range(width):
+                    column = toxicity.COLUMNS[j] + f - toxicity.FILTERS * sum(w <= j for w in toxicity.WIDTHS)
+                    r += float(model.filters[column] @ vectors[at + j]) if at + j < len(vectors) else 0.0
+                best = r if best is None or r > best else best
+            z += max(0.0, best + float(model.bias[f])) * float(model.dense[f])
+            f += 1
+    return z
+
+
+def small_model(seed=0):
+    rng = np.random.default_rng(seed)
+    model = toxicity._fresh(rng, -0.3)
+    model.embed[:-1] *= 30
+    model.bias += rng.normal(0, 0.1, len(model.bias)).astype(np.float32)
+    return model
+
+
+def test_forward_pass_is_a_plain_convolution():
+    model, rng = small_model(), random.Random(3)
+    texts = [b"", b"one", b"Two words", b"--"] + [" ".join(rng.choices(["ab", "dé", "abcdefgh", "X1", "thing,"], k=rng.randrange(1, 12))).encode() for _ in range(12)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    got = model.logits(np.frombuffer(b"".join(texts), np.uint8), offs)
+    assert np.allclose(got, [plain_logit(model, t) for t in texts], atol=1e-4)
+    long = np.frombuffer(b" ".join(rng.choice(texts[4:]) for _ in range(20000)), np.uint8)
+    assert np.allclose(model.long_logit(long), model.logits(long, np.array([0, len(long)])), atol=1e-4)
+
+
+@pytest.mark.parametrize("sharp", [None, 3.0])
+def test_gradient_against_differences(sharp):
+    model = small_model(1)
+    for k in ("embed", "filters", "bias", "dense", "offset"):
+        setattr(model, k, getattr(model, k).astype(np.float64))
+    texts, y = [b"a b c a", b"d e", b"", b"f g h i j a"], np.array([1.0, 0.0, 0.0, 1.0])
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    feats, bounds = toxicity.features(np.frombuffer(b"".join(texts), np.uint8), offs)
+    rows, first, places = model.pad(feats, bounds)
+
+    def loss():
+        _, out = model.responses(rows)
+        z = []
+        for s, n in zip(first, places, strict=True):
+            own = out[:, s : s + n]
+            if sharp is None:
+                pooled = own.max(1)
+            else:
+                pooled = (weights[int(s)] * own).sum(1)
+            z.append(float(np.maximum(pooled + model.bias, 0) @ model.dense + model.offset[0]))
+        p = 1 / (1 + np.exp(-np.array(z)))
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    _, out = model.responses(rows)
+    weights = {}  # taken as given
+    for s, n in zip(first, places, strict=True):
+        e = np.exp((sharp or 1) * (out[:, s : s + n] - out[:, s : s + n].max(1, keepdims=True)))
+        weights[int(s)] = e / e.sum(1, keepdims=True)
+    grad, own = toxicity.gradient(model, rows, first, places, y, sharp)
+    rng = np.random.default_rng(0)
+    for k in grad:
+        value = getattr(model, k)
+        for _ in range(12):
+            at = tuple(int(rng.integers(n)) for n in grad[k].shape)
+            real = (int(own[at[0]]), *at[1:]) if k == "embed" else at
+            before = value[real]
+            value[real] = before + 1e-5
+            up = loss()
+            value[real] = before - 1e-5
+            down = loss()
+            value[real] = before
+            assert abs((up - down) / 2e-5 - grad[k][at]) < 1e-4, (k, at)
+
+
+def test_thresholds_stay_near_the_middle_with_few_rows():
+    assert toxicity.best_cut(np.array([0.1]), np.array([1.0])) == 0.5
+    s = np.concatenate([np.full(50, 0.1), np.full(50, 0.3)])
+    assert 0.1 < toxicity.best_cut(s, (s > 0.2).astype(float)) <= 0.3
+
+
 def test_classifier_with_one_class():
     model = toxicity.train([b"a", b"b"], np.zeros(2), ["", ""], np.zeros(2, bool))
     assert model.scores(np.frombuffer(b"abc", np.uint8), np.array([0, 3]))[0] < 0.5

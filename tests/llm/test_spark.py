@@ -251,6 +251,18 @@ def test_op10_odd(spark, odd, none):
     assert toxicity.op10(none, labels).count() == 0
     assert toxicity.op10(odd, labels.where("doc_id = 99")).count() == 11
     assert toxicity.clean(odd, labels).columns == odd.columns
+    assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+    # repeated ids: the model does not depend on the order of rows; texts beyond the bound are left out
+    one, two = toxicity.fit(odd, labels), toxicity.fit(odd.repartition(5, F.rand(1)), labels)
+    assert np.array_equal(one.embed, two.embed) and np.array_equal(one.dense, two.dense)
+    assert toxicity.fit(odd, labels, most=100).dense is not None
+
+
+def test_op10_held_out_accuracy(spark):
+    """The contract's split on sf0.01; without training the base rate would be 0.914."""
+    d = "/root/testdata/sf0.01"
+    got = Q["op10_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").collect()
+    assert len(got) == 70 and sum(r["predicted"] == r["toxic"] for r in got) / 70 >= 0.95
 
 
 def test_pipeline_stages(spark):
