@@ -170,30 +170,46 @@ def test_word_spans(long):
     assert len({(x, y) for x, y in zip(h.tolist(), [w for g in got for w in g], strict=True)}) == len(set(h.tolist())) == len({w for g in got for w in g})
 
 
-def test_automaton_against_windows():
+def plain_hits(items, text, size):
+    """Every window of every item at every place."""
+    w = decontaminate.normal_words(text)
+    want, which = np.zeros(len(w), bool), set()
+    for i, t in items:
+        q = decontaminate.normal_words(t)
+        m = min(size, len(q))
+        for a in range(len(q) - m + 1 if q else 0):
+            for b in range(len(w) - m + 1):
+                if w[b : b + m] == q[a : a + m]:
+                    want[b : b + m] = True
+                    which.add(i)
+    return len(w), want.tolist(), sorted(which)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 10])
+def test_automaton_against_windows(n, monkeypatch):
     rng = random.Random(2)
     words = ["ab", "c", "dé", "e1"]
-    for _ in range(200):
-        items = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 7))).encode()) for i in range(3)]
-        text = ", ".join(rng.choices(words, k=rng.randrange(0, 25))).upper().replace("É", "é").encode()
-        n, hit, own = decontaminate.scan(text, *decontaminate.build(items, 4))
-        w = decontaminate.normal_words(text)
-        want, which = np.zeros(len(w), bool), set()
-        for i, t in items:
-            q = decontaminate.normal_words(t)
-            size = min(4, len(q))
-            for a in range(len(q) - size + 1 if q else 0):
-                for b in range(len(w) - size + 1):
-                    if w[b : b + size] == q[a : a + size]:
-                        want[b : b + size] = True
-                        which.add(i)
-        assert n == len(w) and own == sorted(which) and (hit.tolist() == want.tolist() or not which)
+    for k in range(150):
+        monkeypatch.setattr(decontaminate, "PIECE", 5 if k % 2 else 1 << 16)
+        items = [(i % 4, " ".join(rng.choices(words, k=rng.randrange(0, 3 * n))).encode()) for i in range(6)]
+        texts = [", ".join(rng.choices(words, k=rng.randrange(0, 25))).upper().replace("É", "é").encode() for _ in range(3)]
+        texts.append(b"x " + items[1][1] + b" -- " + items[2][1])
+        automaton = decontaminate.build(items, n)
+        for text in texts:
+            m, hit, own = decontaminate.scan(text, automaton)
+            assert (m, hit.tolist(), own) == plain_hits(items, text, n)
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        data = decontaminate._NORMAL[np.frombuffer(b"".join(texts), np.uint8)]
+        _, _, bounds, hit, found = automaton.scan(data, offs)  # windows do not cross texts
+        for i, text in enumerate(texts):
+            assert (hit[bounds[i] : bounds[i + 1]].tolist(), sorted(found.get(i, ()))) == plain_hits(items, text, n)[1:]
 
 
 def test_spans_point_into_the_original():
     text = "Ünter THE  cat-sat, on a mat!".encode()
-    _, hit, _ = decontaminate.scan(text, *decontaminate.build([(1, b"the cat sat on")], 10))
-    (span,) = decontaminate.original_spans(text, hit)
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _, hit, _ = decontaminate.build([(1, b"the cat sat on")], 10).scan(decontaminate._NORMAL[data], np.array([0, len(data)]))
+    (span,) = decontaminate.original_spans(data, starts, ends, hit)
     assert text.decode()[span["begin"] : span["end"]] == "THE  cat-sat, on"
 
 

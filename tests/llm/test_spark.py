@@ -57,6 +57,18 @@ def test_op1_odd(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == 7
 
 
+def test_op1_shards(spark, odd, monkeypatch):
+    """A benchmark in many shards gives what one automaton gives."""
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(odd, allowMissingColumns=True), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = items.unionByName(spark.createDataFrame([(1, "QUICK brown fox"), (None, "lazy dog"), (2, None)], "item_id long, text string"))
+    whole = sorted(map(str, decontaminate.occurrences(docs, items).collect()))
+    kept = sorted(map(str, decontaminate.clean(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1 + sum(len(r["text"] or "") for r in items.collect()) // 3)
+    assert len(list(decontaminate.shards(items))) > 2
+    assert sorted(map(str, decontaminate.occurrences(docs, items).collect())) == whole
+    assert sorted(map(str, decontaminate.clean(docs, items).collect())) == kept
+
+
 def test_op5_odd(odd, none):
     got = by_id(suffix_array.op5(odd))
     size = len(LONG)
