@@ -3,7 +3,7 @@
 Every source gets a target of words. Whole passes over a source's documents come first; what is left of
 the target is met by a subset: documents are counted by exact length, a proportional share of every length
 is taken, lengths are added in seeded order while they fit, and bounded-knapsack dynamic programming over
-the remaining counts fills the rest, exactly where the counts allow. Which documents of a length are taken
+the remaining counts finds the sum nearest to the rest, the rest itself where the counts allow. Which documents of a length are taken
 follows a seeded hash, so reruns agree.
 """
 
@@ -24,8 +24,8 @@ MOST = 3
 BUDGET = 1 << 15
 #: Ranges of the seeded hash: a length of one source is ranked in so many parts.
 RANGES = 4096
-#: One number a source is gathered; more sources than this are refused.
-MAX_SOURCES = 1_000_000
+#: Targets of at most so many sources are computed on the driver, of more where the sources are.
+GATHERED = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> dict[str | None, float]:
@@ -48,7 +48,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
-    """How many of each length to take: their sum is the largest found that is at most budget.
+    """How many of each length to take: their sum is the nearest to budget that is found, of two the lower.
 
     The sum equals budget whenever the remaining counts can fill what the greedy part leaves.
     """
@@ -69,11 +69,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
             k = min(spare, (left - BUDGET // 2) // n)
             take[i] += k
             left -= k * n
-    # bounded knapsack: bit s of reach says whether the sum s can be made of the lengths so far
-    reach, steps, full = 1, [], (1 << (left + 1)) - 1
+    # bounded knapsack: bit s of reach says whether the sum s can be made of the lengths so far; a sum of
+    # more than twice what is left is farther from it than none
+    most = 2 * left
+    reach, steps, full = 1, [], (1 << (most + 1)) - 1
     for i in order:
         n, spare = int(lengths[i]), int(counts[i] - take[i])
-        spare = min(spare, left // n) if n > 0 else 0
+        spare = min(spare, most // n) if n > 0 else 0
         k = 1
         while spare > 0 and not reach >> left & 1:
             k = min(k, spare)
@@ -83,7 +85,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
             k *= 2
         if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
+    at = (reach & (1 << (left + 1)) - 1).bit_length() - 1
+    above = reach >> left
+    if above:
+        next_up = left + (above & -above).bit_length() - 1
+        at = next_up if next_up - left < left - at else at
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             take[i] += k
@@ -91,13 +97,44 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
     return take
 
 
+def _wanted(totals: DataFrame, weights: tuple[float, ...], most: int, share: float) -> DataFrame:
+    """skey, source_size, target of every source (skey, total)."""
+    spark = totals.sparkSession
+    gathered = totals.limit(GATHERED + 1).collect()  # one row a source
+    if len(gathered) <= GATHERED:
+        sizes = {(r["skey"][1:] if r["skey"] != "n" else None): int(r["total"]) for r in gathered}
+        rows = [("n" if s is None else "s" + s, sizes[s], float(t)) for s, t in targets(sizes, weights, most, share).items()]
+        return spark.createDataFrame(rows, "skey string, source_size long, target double")
+    order = [F.col("skey") == "n", F.col("skey")]
+    ranged = common.settled(totals.repartitionByRange(common.parts(spark), *order).withColumn("part", F.spark_partition_id()))
+    before, begin = 0, []
+    for r in ranged.groupBy("part").count().orderBy("part").collect():  # one row a partition
+        begin.append((r["part"], before))
+        before += r["count"]
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    begins = spark.createDataFrame(begin, "part int, begin long")
+    ranked = ranged.withColumn("rank", rank).join(F.broadcast(begins), "part")
+    k = F.pmod(F.col("begin") + F.col("rank"), F.lit(len(weights))).cast("int")
+    weighted = common.settled(ranked.select("skey", F.col("total").alias("size"), F.element_at(F.array(*[F.lit(float(w)) for w in weights]), k + 1).alias("weight")))
+    # each round caps more sources; those that are capped stay so, as the unit grows
+    unit, capped = 0.0, -1
+    while True:
+        cap = most * F.col("size") < F.lit(unit) * F.col("weight")
+        got = weighted.agg(F.count_if(cap).alias("n"), F.sum(F.when(cap, most * F.col("size"))).alias("cut"), F.sum(F.when(~cap, F.col("weight"))).alias("weight"), F.sum("size").alias("size")).first()
+        if got["n"] == capped or not got["weight"]:
+            break
+        capped, unit = got["n"], (share * got["size"] - (got["cut"] or 0)) / got["weight"]
+    target = F.least(F.lit(unit) * F.col("weight"), (most * F.col("size")).cast("double"))
+    return weighted.select("skey", F.col("size").alias("source_size"), target.alias("target"))
+
+
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row.
 
     size: words [^\\x20\\x09-\\x0D]+ of the whole text, 0 for null. taken: words the mix takes of the
     document, repeats counted, a multiple of size. Null sources are one source, the last. Repeated rows
     are documents of their own; null ids stay. An empty table gives no rows; a source without words has
-    target 0. Raises ValueError beyond MAX_SOURCES sources.
+    target 0.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = common.slim(docs, "doc_id", "source", "text").select(
@@ -111,22 +148,17 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, mo
     by_range = sized.groupBy("skey", "size", "b").agg(F.count(F.lit(1)).alias("n"))
     by_length = sized.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = by_length.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
-    gathered = totals.limit(MAX_SOURCES + 1).collect()  # one row a source
-    if len(gathered) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {(r["skey"][1:] if r["skey"] != "n" else None): int(r["total"]) for r in gathered}
-    wanted = {("n" if s is None else "s" + s): (t, sizes[s]) for s, t in targets(sizes, weights, most, share).items()}
+    wanted = _wanted(totals, weights, most, share)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["skey"].iloc[0]
-        target, size = wanted[name]
+        target, size = float(pdf["target"].iloc[0]), int(pdf["source_size"].iloc[0])
         pdf = pdf.sort_values("size")
         passes = min(most, int(target // size)) if size else 0
         budget = round(target - passes * size) if passes < most else 0
         extra = fit_budget(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(budget), seed)
-        return pd.DataFrame({"skey": pdf["skey"], "size": pdf["size"], "passes": passes, "extra": extra, "source_size": size, "target": float(target)})
+        return pd.DataFrame({"skey": pdf["skey"], "size": pdf["size"], "passes": passes, "extra": extra, "source_size": size, "target": target})
 
-    planned = by_length.groupBy("skey").applyInPandas(plan, "skey string, size long, passes int, extra long, source_size long, target double")
+    planned = by_length.join(wanted, "skey").groupBy("skey").applyInPandas(plan, "skey string, size long, passes int, extra long, source_size long, target double")
     before = Window.partitionBy("skey", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     ranges = by_range.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(planned, ["skey", "size"]).drop("n")
     within = Window.partitionBy("skey", "size", "b").orderBy("h", "doc_id")

@@ -367,6 +367,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, sigmas: float = SIGMAS, lis
     pairs = [(a, b, min(b + RUN, stop) - 1) for begin, stop in bounds for a in range(begin, stop) for b in range(a, stop, RUN)]
     work = spark.createDataFrame(pairs, "a int, first int, last int").repartition(min(len(pairs), 8 * common.parts(spark)), "a", "first")
     found = common.settled(work.mapInArrow(_link(path, shared, cosine, wide), "id long, root long, links long"))
+    common.remove(spark, path)
     links_ = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = whole.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))

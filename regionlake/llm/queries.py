@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import dartminhash, decontaminate, html_text, mixing, pq, suffix_array, suffix_tree, tokens, toxicity, warc
 from .common import table
 
+#: The vocabulary file that op8's query counts by.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -21,7 +24,7 @@ def queries() -> dict[str, Query]:
         "op5_suffix_array": lambda s, d: suffix_array.op5(table(s, d, "documents")),
         "op6_mixing": lambda s, d: mixing.op6(table(s, d, "documents")),
         "op7_suffix_tree": lambda s, d: suffix_tree.op7(table(s, d, "documents")),
-        "op8_token_counts": lambda s, d: tokens.op8(table(s, d, "documents")),
+        "op8_token_counts": lambda s, d: tokens.op8(table(s, d, "documents"), VOCABULARY),
         "op9_dartminhash": lambda s, d: dartminhash.op9(table(s, d, "documents")),
         "op10_toxicity": lambda s, d: toxicity.op10(table(s, d, "documents"), table(s, d, "labels")),
     }

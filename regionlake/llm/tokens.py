@@ -28,7 +28,6 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED, LONGEST = 400_000, 64
 #: Characters of a text held as words at a time.
 PIECE = 1 << 20
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 @dataclass(frozen=True)
@@ -39,7 +38,7 @@ class Vocabulary:
     lowest: float
 
 
-def load(path: str = VOCABULARY) -> Vocabulary:
+def load(path: str) -> Vocabulary:
     """The ordinary pieces of a SentencePiece model file; control, unknown and byte pieces match no text."""
     import sentencepiece
 
@@ -77,31 +76,33 @@ class Counter(dict):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {p for p in vocabulary.pieces if len(p) == 1}
+        self.most = max(map(len, vocabulary.pieces), default=1)
         self.unknown = vocabulary.lowest - UNKNOWN_PENALTY
 
     def viterbi(self, text: str) -> tuple[int, float]:
-        n = len(text)
-        best: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)
+        """Places no farther back than the longest piece are held, in a ring."""
+        ring = self.most + 1
+        best: list[float | None] = [None] * ring
+        count = [0] * ring
         best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(text):
-            ends[end].append(piece)
-        for end in range(n):
+        matches = self.automaton.iter(text)
+        ahead = next(matches, None)
+        for end, c in enumerate(text):
             top, pieces, length = None, 0, 0
-            for size, score in ends[end]:
-                before = best[end + 1 - size]
+            while ahead is not None and ahead[0] == end:
+                size, score = ahead[1]
+                before = best[(end + 1 - size) % ring]
                 if before is not None:
                     score += before
                     if top is None or score > top or score == top and size > length:
-                        top, pieces, length = score, count[end + 1 - size] + 1, size
-            c = text[end]
+                        top, pieces, length = score, count[(end + 1 - size) % ring] + 1, size
+                ahead = next(matches, None)
             if c not in self.single:
-                score = best[end] + self.unknown
+                score = best[end % ring] + self.unknown
                 if top is None or score > top:
-                    top, pieces = score, count[end] + len(c.encode("utf-8", "surrogatepass"))
-            best[end + 1], count[end + 1] = top, pieces
-        return count[n], best[n]
+                    top, pieces = score, count[end % ring] + len(c.encode("utf-8", "surrogatepass"))
+            best[(end + 1) % ring], count[(end + 1) % ring] = top, pieces
+        return count[len(text) % ring], best[len(text) % ring]
 
     def __missing__(self, word: str) -> tuple[int, float]:
         found = self.viterbi(SPACE + word)
@@ -139,7 +140,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score",
 _counters: dict[str, Counter] = {}
 
 
-def count(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def count(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the best path's score of every row's whole text.
 
     path: a SentencePiece model file, read on the driver; its pieces and scores are the unigram vocabulary
@@ -164,5 +165,5 @@ def count(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return common.slim(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
 
 
-def op8(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def op8(docs: DataFrame, path: str) -> DataFrame:
     return count(docs, path)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from regionlake.llm import dartminhash, decontaminate, hashing, html_text, mixing, pq, repeats, suffix_array, suffix_tree, tokens, toxicity, warc
+from regionlake.llm import dartminhash, decontaminate, hashing, html_text, mixing, pq, queries, repeats, suffix_array, suffix_tree, tokens, toxicity, warc
 
 
 def brute_bytes(docs):
@@ -233,8 +233,10 @@ def test_knapsack_is_best(monkeypatch):
         c = np.array([rng.randrange(1, 4) for _ in n])
         budget = rng.randrange(0, 150)
         take = mixing.fit_budget(n, c, budget, 3)
-        best = max(s for s in (sum(a * k for a, k in zip(n, ks, strict=True)) for ks in product(*[range(x + 1) for x in c])) if s <= budget)
-        assert (take >= 0).all() and (take <= c).all() and (take * n).sum() == best
+        near = min((abs(s - budget), s) for s in (sum(a * k for a, k in zip(n, ks, strict=True)) for ks in product(*[range(x + 1) for x in c])))
+        assert (take >= 0).all() and (take <= c).all() and (abs((take * n).sum() - budget), (take * n).sum()) == near
+    assert mixing.fit_budget(np.array([100]), np.array([1]), 90, 3).tolist() == [1]
+    assert mixing.fit_budget(np.array([100]), np.array([1]), 49, 3).tolist() == [0]
 
 
 def test_targets_cap_and_reshare():
@@ -248,10 +250,10 @@ def test_counts_equal_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.VOCABULARY)
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY)
     vocabulary = [(f"{i}" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.vocab_size())]
     whole = Tokenizer(Unigram(vocabulary, 0, True))
-    counter = tokens.Counter(tokens.load())
+    counter = tokens.Counter(tokens.load(queries.VOCABULARY))
     rng = random.Random(1)
     texts = ["", " ", "  ", "a ", " a", "a  b", "a   ", "\n", "▁", "日本語 text é", "\U0001f600 x"] + ["".join(rng.choice("ab thein\n é日") for _ in range(rng.randrange(40))) for _ in range(800)]
     for piece in (7, 1 << 20):
@@ -260,6 +262,45 @@ def test_counts_equal_the_tokenizer(monkeypatch):
             assert counter.count(t)[0] == (len(whole.encode("▁" + t.replace(" ", "▁")).ids) if t else 0), t
 
 
+def plain_count(pieces, unknown, text):
+    """Best sum of scores over all ways to cut text; of equal ones that whose last piece is longest."""
+    best = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        ways = []
+        for size in range(1, end + 1):
+            own = text[end - size : end]
+            if own in pieces:
+                ways.append((best[end - size][0] + pieces[own], size, best[end - size][1] + 1))
+            elif size == 1:
+                ways.append((best[end - 1][0] + unknown, 0, best[end - 1][1] + len(own.encode())))
+        top = max(ways)
+        best.append((top[0], top[2]))
+    return best[-1][1], best[-1][0]
+
+
+def test_counts_against_all_cuts():
+    rng = random.Random(5)
+    for _ in range(60):
+        pieces = {"".join(rng.choices("abc", k=rng.randrange(1, 5))): float(-rng.randrange(1, 9)) for _ in range(12)}
+        pieces |= {"▁" + p: s - 1 for p, s in list(pieces.items())[:5]} | {"▁": -3.0}
+        counter = tokens.Counter(tokens.Vocabulary(pieces, -12.0))
+        for _ in range(10):
+            text = "".join(rng.choices("abcdé ", k=rng.randrange(1, 40)))
+            assert counter.count(text) == plain_count(pieces, counter.unknown, "▁" + text.replace(" ", "▁"))
+
+
+def test_one_very_long_word_in_little_memory():
+    import tracemalloc
+
+    counter = tokens.Counter(tokens.load(queries.VOCABULARY))
+    word = "Zm9vYmFyIGJheiBxdXV4" * 20_000
+    tracemalloc.start()
+    n, _ = counter.count(word)
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(word) + 2**20
+    tracemalloc.stop()
+    assert 20_000 < n < len(word)
+
+
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header><a href=x>Home</a></header><nav><ul><li><a>One</a></ul></nav>
 <div class="cookie-notice">We use cookies and so on for all that you do with us on this and any other of the pages.</div>
 <article><h1>A &amp; B</h1><p>The first of the paragraphs, which is long enough to be judged on the words that it has.
