@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import heap
+from ..plans.intervals import earlier
+from ..plans.settle import settle
 from ..registry import query
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_sql
@@ -82,18 +84,6 @@ def decisions(mapping: DataFrame, tasks_log: int, nodes: int) -> DataFrame:
     return spans.groupBy(F.lit(1).alias("one")).applyInPandas(walk, "path long, decision string")
 
 
-@query("q_decision_tree")
-def decision_tree(spark, d) -> DataFrame:
-    return decisions(uniform_mapping(spark, 4, 5), 5, 4)
-
-
-@query("q_task_target", "SELECT t AS task, CAST(floor(t / 8) AS INTEGER) AS node, '0:2' AS root, CAST(floor(t / 16) * 2 AS INTEGER) AS half FROM (SELECT unnest(range(0, 32)) AS t)")
-def task_target(spark, d) -> DataFrame:
-    """Where each task of a uniform map over four nodes runs, and the half of the hierarchy it passes."""
-    m = uniform_mapping(spark, 4, 5)
-    return m.select("task", "node", F.lit("0:2").alias("root"), (F.floor(F.col("node") / 2) * 2).cast("int").alias("half"))
-
-
 def node_costs(loads: DataFrame, mapping: DataFrame) -> DataFrame:
     """node, tasks, cost: load by number of tasks; a node without tasks gets the mean load of a task."""
     owned = mapping.groupBy("node").agg(F.count(F.lit(1)).alias("tasks"))
@@ -130,7 +120,14 @@ def assign_by_cost(costs: DataFrame, active: list[bool]) -> DataFrame:
     return costs.select("task", "cost").groupBy(F.lit(1).alias("one")).applyInPandas(run, "task long, node int")
 
 
-@query("q_rebalance_map")
+_REBALANCE = f"""WITH RECURSIVE {_COSTS}, tc AS (SELECT task, cost FROM mp JOIN co ON co.node = mp.node), ea AS (SELECT sum(cost) / 3 AS each FROM tc),
+ r(task, at, done, goal) AS (SELECT CAST(-1 AS BIGINT), 0, CAST(0 AS DOUBLE), each FROM ea UNION ALL
+   SELECT tc.task, CASE WHEN at < 2 AND done + cost > goal THEN at + 1 ELSE at END, done + cost, CASE WHEN at < 2 AND done + cost > goal THEN goal + each ELSE goal END
+   FROM r JOIN tc ON tc.task = r.task + 1, ea)
+ SELECT task, CAST([0, 2, 3][at + 1] AS INTEGER) AS node FROM r WHERE task >= 0"""
+
+
+@query("q_rebalance_map", with_sql(_REBALANCE, "node_load"))
 def rebalance_map(spark, d) -> DataFrame:
     mapping = uniform_mapping(spark, 3, 5)
     costs = node_costs(fx.node_load(spark, d), mapping).select("node", "cost")
@@ -157,7 +154,7 @@ def shift_boundaries(costs: np.ndarray, mapping: np.ndarray, nodes: int) -> np.n
                 size[k] -= 1
                 size[j] += 1
         elif own[k] < mean - margin:
-            j = max(near, key=lambda j: (own[j], j))
+            j = max(near, key=lambda j: (own[j], -j))
             if size[j] > 1 and own[j] > own[k] + margin:
                 size[k] += 1
                 size[j] -= 1
@@ -285,7 +282,8 @@ def pareto(points: DataFrame) -> DataFrame:
     """Points (id, load, time, energy) that none dominates: load is to be large, time and energy small.
 
     Of equal values one row stands for all; a point first has to survive the frontier of its own partition,
-    so that only small frontiers meet.
+    then those of all partitions: each block of survivors is held against every other, so that no task has
+    more than two blocks of them, however many there are.
     """
     values = points.select("load", "time", "energy").distinct()
 
@@ -297,14 +295,31 @@ def pareto(points: DataFrame) -> DataFrame:
         if held is not None:
             yield held
 
+    def against(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, others = pdf[pdf["side"] == 0], pdf[["load", "time", "energy"]].to_numpy(float) * FRONTIER
+        key = own[["load", "time", "energy"]].to_numpy(float) * FRONTIER
+        lost = [bool(((others <= k).all(1) & (others < k).any(1)).any()) for k in key]
+        return own[lost][["load", "time", "energy"]]
+
     schema = values.schema
-    some = values.mapInPandas(local, schema)
-    best = some.coalesce(1).mapInPandas(local, schema)
+    some = settle(values.mapInPandas(local, schema))
+    blocks = max(1, -(-some.count() // FRONTIER_BLOCK))
+    dealt = some.withColumn("own", F.pmod(F.xxhash64("load", "time", "energy"), F.lit(blocks)).cast("int"))
+    # a block as candidates beside each block, and as that block
+    candidates = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
+    rivals = dealt.withColumnRenamed("own", "other").withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
+    lost = candidates.unionByName(rivals).groupBy("own", "other").applyInPandas(against, schema).distinct()
+    best = some.join(lost, ["load", "time", "energy"], "left_anti")
     return points.join(best, ["load", "time", "energy"]).select("id", "load", "time", "energy")
 
 
+#: What makes a point better is less of load, time and energy times these.
+FRONTIER = np.array([-1.0, 1.0, 1.0])
+FRONTIER_BLOCK = 8192
+
+
 def _undominated(v: np.ndarray) -> np.ndarray:
-    key = v * np.array([-1.0, 1.0, 1.0])
+    key = v * FRONTIER
     order = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
     keep: list[int] = []
     for i in order:
@@ -405,17 +420,26 @@ def leeway_bound(spark, d, leeway: float = 0.2, most: int = 500) -> DataFrame:
 # ---- failures ------------------------------------------------------------------------------------
 
 
-@query("q_reschedule", with_sql("WITH p AS (SELECT heap, locality FROM task_profile), r AS (SELECT heap, row_number() OVER (ORDER BY heap) - 1 AS k FROM p WHERE locality = 3) SELECT p.heap, CASE WHEN p.locality <> 3 THEN p.locality ELSE CAST([0, 1, 2, 4, 5, 6, 7][CAST(k % 7 + 1 AS BIGINT)] AS INTEGER) END AS locality FROM p LEFT JOIN r ON r.heap = p.heap", "task_profile"))
-def reschedule(spark, d, dead: int = 3) -> DataFrame:
-    """Tasks of a dead rank are dealt to the living in turn; the others stay. Numbers come from positions in
-    ranges of the path, so the tasks are not ordered in one place."""
+_LIVING = "[0, 1, 2, 4, 5, 6, 7]"
+
+
+@query("q_reschedule", with_sql(f"WITH p AS (SELECT heap, locality FROM task_profile), r AS (SELECT heap, row_number() OVER (ORDER BY heap) - 1 AS k, count(*) OVER () AS n FROM p WHERE locality = 3), x AS (SELECT heap, CASE WHEN k < (n % 7) * (n // 7 + 1) THEN k // (n // 7 + 1) ELSE n % 7 + (k - (n % 7) * (n // 7 + 1)) // (n // 7) END AS i FROM r) SELECT p.heap, CASE WHEN p.locality <> 3 THEN p.locality ELSE CAST({_LIVING}[CAST(i + 1 AS BIGINT)] AS INTEGER) END AS locality FROM p LEFT JOIN x ON x.heap = p.heap", "task_profile"))
+def reschedule(spark, d, dead: int = 3, ranks: int = 8) -> DataFrame:
+    """Tasks of a dead rank, in order, go to the living in equal shares, the first ones larger by one; the
+    others stay. Numbers come from positions in ranges of the path, and of ranges of ranges, so the tasks
+    are not ordered in one place."""
     p = fx.task_profile(spark, d).select("heap", "locality")
-    lost = p.where(F.col("locality") == dead).withColumn("b", F.floor(F.col("heap") / 4096).cast("long"))
-    per = lost.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    base = per.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    k = F.col("base") + F.row_number().over(Window.partitionBy("b").orderBy("heap")) - 1
-    living = F.array(*[F.lit(r) for r in range(8) if r != dead])
-    moved = lost.join(base, "b").select("heap", F.element_at(living, (k % 7 + 1).cast("int")).alias("locality"))
+    lost = p.where(F.col("locality") == dead).withColumn("_bin", F.floor(F.col("heap") / 4096).cast("long"))
+    per = earlier(lost.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")), [], {"base": ("sum", F.col("n"))})
+    k = F.coalesce("base", F.lit(0)) + F.row_number().over(Window.partitionBy("_bin").orderBy("heap")) - 1
+    living = [r for r in range(ranks) if r != dead]
+    total = lost.agg(F.count(F.lit(1)).alias("total"))  # one row
+    numbered = lost.join(per.select("_bin", "base"), "_bin").select("heap", k.alias("k")).join(F.broadcast(total))
+    each = F.floor(F.col("total") / len(living))
+    more = F.col("total") % len(living)
+    edge = more * (each + 1)
+    place = F.when(F.col("k") < edge, F.floor(F.col("k") / (each + 1))).otherwise(more + F.floor((F.col("k") - edge) / F.greatest(each, F.lit(1))))
+    moved = numbered.select("heap", F.element_at(F.array(*[F.lit(r) for r in living]), (place + 1).cast("int")).alias("locality"))
     return p.where(F.col("locality") != dead).unionByName(moved)
 
 
