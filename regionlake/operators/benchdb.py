@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..registry import query
 from ..sources import text
 
+# The table's columns and their order.
 BENCH = T.StructType(
     [
         T.StructField("app_name", T.StringType()), T.StructField("app_args", T.StringType()), T.StructField("time", T.DoubleType()), T.StructField("energy", T.LongType()),
@@ -55,16 +56,36 @@ def bench_defaults(spark, d) -> DataFrame:
 
 
 def select_runs(runs: DataFrame, app: str, args: str, objective: str, threads: list[int]) -> DataFrame:
-    columns = ["time", "energy", "power", "initial_threads", "min_threads", "max_threads", "mean_threads", "mode_threads", "stdev_threads", "resource"]
+    columns = ["app_name", "app_args", "initial_threads", "time", "min_threads", "mean_threads", "stdev_threads", "energy", "resource", "objective"]
     wanted = (F.col("app_name") == app) & (F.col("app_args") == args) & (F.col("objective") == objective) & F.col("initial_threads").isin(threads)
     return runs.where(wanted).select(*columns).orderBy("initial_threads")
 
 
-@query("q_bench_select", f"WITH {_VALUES} SELECT time, energy, power, CAST(initial_threads AS INTEGER) AS initial_threads, CAST(min_threads AS INTEGER) AS min_threads, CAST(max_threads AS INTEGER) AS max_threads, mean_threads, mode_threads, stdev_threads, resource FROM bench WHERE app_name = 'grain' AND app_args = '4 200' AND objective = 'time' AND initial_threads IN (1, 4, 16)")
+@query("q_bench_select", f"WITH {_VALUES} SELECT app_name, app_args, CAST(initial_threads AS INTEGER) AS initial_threads, time, CAST(min_threads AS INTEGER) AS min_threads, mean_threads, stdev_threads, energy, resource, objective FROM bench WHERE app_name = 'grain' AND app_args = '4 200' AND objective = 'time' AND initial_threads IN (1, 4, 16)")
 def bench_select(spark, d) -> DataFrame:
     return select_runs(bench(spark), "grain", "4 200", "time", [1, 4, 16])
 
 
+def plot_series(runs: DataFrame, app: str, args: str, threads: list[int], objectives: list[str], value: str) -> DataFrame:
+    """objective, threads, value: a line of a plot for each objective; with time and resource also the least
+    number of threads and the deviation, rounded to two places, that are written beside the points."""
+    lines = None
+    for objective in objectives:  # a short list of a configuration
+        own = select_runs(runs, app, args, objective, threads)
+        beside = objective in ("time", "resource")
+        line = own.select(
+            "objective", F.col("initial_threads").alias("threads"), F.col(value).cast("double").alias("value"),
+            (F.col("min_threads") if beside else F.lit(None).cast("int")).alias("least"), (F.round("stdev_threads", 2) if beside else F.lit(None).cast("double")).alias("deviation"),
+        )
+        lines = line if lines is None else lines.unionByName(line)
+    return lines
+
+
+@query("q_plot_series", f"WITH {_VALUES} SELECT objective, CAST(initial_threads AS INTEGER) AS threads, CAST(resource AS DOUBLE) AS value, CASE WHEN objective <> 'none' THEN CAST(min_threads AS INTEGER) END AS least, CASE WHEN objective <> 'none' THEN round(stdev_threads, 2) END AS deviation FROM bench WHERE app_name = 'stencil' AND app_args = '4 200' AND objective IN ('time', 'resource', 'none') AND initial_threads IN (1, 2, 8)")
+def q_plot_series(spark, d) -> DataFrame:
+    return plot_series(bench(spark), "stencil", "4 200", [1, 2, 8], ["time", "resource", "none"], "resource")
+
+
 def plan_runs(spark, **choices: list) -> DataFrame:
     """Every combination of the given choices: short lists of a configuration, exploded in turn."""
     out = spark.range(1).drop("id")

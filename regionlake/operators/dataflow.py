@@ -34,10 +34,21 @@ def pfor_chain(spark, d) -> DataFrame:
 
 
 @query("q_sync_steps", with_sql("SELECT step, count(*) AS n, CAST(sum(i + step) AS BIGINT) AS total FROM vector, (VALUES (1), (2), (3)) AS s(step) GROUP BY step", "vector"))
-def sync_steps(spark, d) -> DataFrame:
-    """Three loops that depend one on one: their order is that of the frames, all steps in one pass."""
-    v = fx.vector(spark, d).select("i", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("step"))
-    return v.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i") + F.col("step")).alias("total"))
+def sync_steps(spark, d, steps: int = 3) -> DataFrame:
+    """Loops of which each depends, one on one, on what the loop before left at the same place."""
+    at, out = fx.vector(spark, d).select("i", F.col("i").alias("v")), None
+    for step in range(1, steps + 1):
+        at = at.select("i", (F.col("v") + 1).alias("v"))
+        row = at.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")).select(F.lit(step).alias("step"), "n", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("q_parallel", with_sql("SELECT 'sum' AS part, CAST(sum(i) AS BIGINT) AS value FROM vector UNION ALL SELECT 'count' AS part, count(*) AS value FROM vector", "vector"))
+def q_parallel(spark, d) -> DataFrame:
+    """Two results that do not depend on each other."""
+    v = fx.vector(spark, d)
+    return parallel(v.agg(F.sum("i").alias("value")).select(F.lit("sum").alias("part"), "value"), v.agg(F.count(F.lit(1)).alias("value")).select(F.lit("count").alias("part"), "value"))
 
 
 @query("q_tree_reduce", with_sql("SELECT CAST(sum(i) AS BIGINT) AS total, max(a) AS top, bit_xor(i) AS folded FROM vector", "vector"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import intervals
@@ -154,11 +154,16 @@ def transfer_plan(requirements: DataFrame, owners: DataFrame, target) -> DataFra
     """task, item, mode, rank, lo, hi, kind: where each requirement's elements come from.
 
     What the target has is skipped; every other element comes from its owner of the least rank. Read-only
-    elements are replicated, others migrate. Requirements are a task's own, small boxes.
+    elements are replicated, others migrate. A requirement is cut where an owner's part begins or ends, so
+    its work goes with the number of parts, not of elements.
     """
-    found = locate(requirements, owners).select("task", "item", "mode", "rank", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("c"))
-    each = found.groupBy("task", "item", "mode", "c").agg(F.min("rank").alias("rank"), F.bool_or(F.col("rank") == target).alias("there")).where("NOT there")
-    boxes = intervals.merge(each.select("task", "item", "mode", "rank", F.col("c").alias("lo"), (F.col("c") + 1).alias("hi")), ["task", "item", "mode", "rank"])
+    keys = ["task", "item", "mode"]
+    found = settle(locate(requirements, owners))
+    cuts = found.select(*keys, F.explode(F.array("lo", "hi")).alias("lo")).distinct()
+    pieces = cuts.withColumn("hi", F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo"))).where("hi IS NOT NULL")
+    held = intervals.overlap_join(pieces, found, keys)
+    each = held.groupBy(*keys, "a_lo", "a_hi").agg(F.min("b_rank").alias("rank"), F.bool_or(F.col("b_rank") == target).alias("there")).where("NOT there")
+    boxes = intervals.merge(each.select("task", "item", "mode", "rank", F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")), ["task", "item", "mode", "rank"])
     return boxes.withColumn("kind", F.when(F.col("mode") == "ReadOnly", "Replication").otherwise("Migration"))
 
 
@@ -186,7 +191,50 @@ def ownership_json(locations: DataFrame) -> DataFrame:
     return listed.select("rank", "item", F.to_json(F.struct(F.col("item").alias("id"), F.lit("range").alias("type"), "region")).alias("json"))
 
 
-@query("q_ownership_json", with_sql("WITH r AS (SELECT rank, item, lo, hi FROM location WHERE lo < 3000) SELECT rank, item, '{\"id\":\"' || item || '\",\"type\":\"range\",\"region\":[' || string_agg('{\"from\":[' || lo || '],\"to\":[' || hi || ']}', ',' ORDER BY lo) || ']}' AS json FROM (SELECT rank, item, min(c) AS lo, max(c) + 1 AS hi FROM (SELECT *, c - row_number() OVER (PARTITION BY rank, item ORDER BY c) AS g FROM (SELECT DISTINCT rank, item, unnest(range(lo, hi)) AS c FROM r)) GROUP BY rank, item, g) GROUP BY rank, item", "location"))
+def acquire(requirements: DataFrame, location: DataFrame, me) -> DataFrame:
+    """All requirements of every task, of either mode: what is replicated, migrates or is allocated; a task
+    can go when all of its rows have been done."""
+    read = acquire_read(requirements, location, me).select(*TASK, "rank", "lo", "hi", "kind")
+    return read.unionByName(acquire_write(requirements, location, me))
+
+
+@query("q_acquire_all", with_sql(f"WITH {_RW}, s AS (SELECT DISTINCT task, rc.item, rank, rc.c FROM rc JOIN lc ON lc.item = rc.item AND lc.c = rc.c WHERE mode = 'ReadOnly' AND rank <> task % 4), x AS (SELECT task, item, rank, lo, hi, 'replicate' AS kind FROM ({_boxes('s', 'task', 'item', 'rank')}) UNION ALL SELECT task, item, rank, lo, hi, 'migrate' AS kind FROM ({_boxes('m', 'task', 'item', 'rank')}) UNION ALL SELECT task, item, NULL AS rank, lo, hi, 'allocate' AS kind FROM ({_boxes('n', 'task', 'item')})) SELECT task, kind, count(*) AS parts, CAST(sum(hi - lo) AS BIGINT) AS elements FROM x GROUP BY task, kind", "location", "requirement"))
+def acquire_all(spark, d) -> DataFrame:
+    """Parts and elements that each task waits for, by kind."""
+    rows = acquire(fx.requirement(spark, d), fx.location(spark, d), F.col("task") % RANKS)
+    return rows.groupBy("task", "kind").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("elements"))
+
+
+def surrender(location: DataFrame, missing: DataFrame) -> DataFrame:
+    """item, rank, lo, hi, gone: every rank's parts of missing (item, lo, hi), which it gives up, and what it
+    keeps."""
+    ranks = location.select(*OWNER).distinct()
+    asked = missing.join(ranks, "item").select(*OWNER, "lo", "hi")
+    pieces = settle(intervals.segments({"here": location, "asked": asked}, OWNER).where("here"))
+    return intervals.merge(pieces.select(*OWNER, F.col("asked").alias("gone"), "lo", "hi"), [*OWNER, "gone"])
+
+
+@query("q_collect_children", with_sql(f"WITH {_LC}, {_BC}, s AS (SELECT lc.item, rank, bc.c IS NOT NULL AS gone, lc.c FROM lc LEFT JOIN bc ON bc.item = lc.item AND bc.c = lc.c) {_boxes('s', 'item', 'rank', 'gone')}", "location", "region_b"))
+def collect_children(spark, d) -> DataFrame:
+    return surrender(fx.location(spark, d), fx.region_b(spark, d))
+
+
+def resize(covered: DataFrame, exclusive: DataFrame, region: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Covered and exclusive parts (item, rank, lo, hi) after fragments have grown by region (item, rank, lo,
+    hi, write): all of it is covered, what is written is owned as well."""
+    grown = intervals.union(covered, region, OWNER)
+    return grown, intervals.union(exclusive, region.where("write"), OWNER)
+
+
+@query("q_resize_fragment", with_sql(f"WITH {_LC}, g AS (SELECT DISTINCT item, CAST(lo % 4 AS INTEGER) AS rank, lo % 2 = 0 AS write, unnest(range(lo, hi)) AS c FROM region_b), s AS (SELECT 'covered' AS what, * FROM (SELECT item, rank, c FROM lc UNION SELECT item, rank, c FROM g) UNION ALL SELECT 'exclusive' AS what, * FROM (SELECT item, rank, c FROM lc UNION SELECT item, rank, c FROM g WHERE write)) {_boxes('s', 'what', 'item', 'rank')}", "location", "region_b"))
+def resize_fragment(spark, d) -> DataFrame:
+    """Fragments of the owned parts grow by region B, dealt over the ranks; boxes at even places are written."""
+    loc = fx.location(spark, d)
+    region = fx.region_b(spark, d).select("item", (F.col("lo") % 4).cast("int").alias("rank"), "lo", "hi", (F.col("lo") % 2 == 0).alias("write"))
+    covered, exclusive = resize(loc, loc, region)
+    return covered.select(F.lit("covered").alias("what"), *OWNER, "lo", "hi").unionByName(exclusive.select(F.lit("exclusive").alias("what"), *OWNER, "lo", "hi"))
+
+
+@query("q_ownership_json", with_sql("WITH r AS (SELECT rank, item, lo, hi FROM location) SELECT rank, item, '{\"id\":\"' || item || '\",\"type\":\"range\",\"region\":[' || string_agg('{\"from\":[' || lo || '],\"to\":[' || hi || ']}', ',' ORDER BY lo) || ']}' AS json FROM (SELECT rank, item, min(c) AS lo, max(c) + 1 AS hi FROM (SELECT *, c - row_number() OVER (PARTITION BY rank, item ORDER BY c) AS g FROM (SELECT DISTINCT rank, item, unnest(range(lo, hi)) AS c FROM r)) GROUP BY rank, item, g) GROUP BY rank, item", "location"))
 def q_ownership_json(spark, d) -> DataFrame:
-    """Of locations below 3000 only, as its SQL has it."""
-    return ownership_json(fx.location(spark, d).where("lo < 3000"))
+    return ownership_json(fx.location(spark, d))

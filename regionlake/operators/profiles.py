@@ -129,6 +129,21 @@ def cpu_load(spark, d) -> DataFrame:
     return counters(fx.node_sample(spark, d)).select("rank", "t", (u / (u + i)).alias("cpu_load"))
 
 
+def live_samples(samples: DataFrame) -> DataFrame:
+    """sample, active_tasks, avg_duration, idle_rate, memory_mb of each rank, as a line is written for every
+    sample; samples are numbered from 0. One row a node and hour: a node's series is short."""
+    w = Window.partitionBy("rank").orderBy("t")
+    return samples.select(
+        "rank", (F.row_number().over(w) - 1).alias("sample"), F.col("tasks").alias("active_tasks"), (F.col("used") / F.col("tasks")).alias("avg_duration"),
+        (1 - F.col("used") / (F.col("used") + F.col("idle"))).alias("idle_rate"), (F.col("bytes_in") * 1e-6).alias("memory_mb"),
+    )
+
+
+@query("q_live_sample", with_sql("SELECT rank, CAST(row_number() OVER (PARTITION BY rank ORDER BY t) - 1 AS INTEGER) AS sample, tasks AS active_tasks, CAST(used AS DOUBLE) / tasks AS avg_duration, 1 - CAST(used AS DOUBLE) / (used + idle) AS idle_rate, bytes_in * CAST(1e-6 AS DOUBLE) AS memory_mb FROM node_sample", "node_sample"))
+def q_live_sample(spark, d) -> DataFrame:
+    return live_samples(fx.node_sample(spark, d))
+
+
 def ring(column: str, slots: int, w) -> Column:
     """The value slots samples ago, or the first there is."""
     return F.coalesce(F.lag(column, slots).over(w), F.first(column).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -323,16 +338,19 @@ def tree_reachable(spark, d) -> DataFrame:
 
 
 def colour(share: Column) -> Column:
-    """A colour from white (0) to red (1) as #RRGGBB."""
-    rest = F.floor(255 * (1 - F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))).cast("int")
-    return F.concat(F.lit("#FF"), F.lpad(F.hex(rest), 2, "0"), F.lpad(F.hex(rest), 2, "0"))
+    """A colour as rrggbb on the way from yellow (0) to red (1) through the hues between, of full saturation
+    and value: the hue falls from a sixth to 0, so red stays full and green fades."""
+    sixths = (F.lit(1 / 6) + (0 - F.lit(1 / 6)) * share) * 6
+    green = F.when(sixths >= 1, 255).otherwise(F.floor(255 * sixths)).cast("int")
+    return F.concat(F.lit("ff"), F.lpad(F.lower(F.hex(green)), 2, "0"), F.lit("00"))
 
 
-@query("q_tree_color", with_sql("WITH m AS (SELECT max(end_us - start_us) AS top FROM task_profile), x AS (SELECT heap, upper(lpad(printf('%x', CAST(floor(255 * (1 - CAST(end_us - start_us AS DOUBLE) / top)) AS INTEGER)), 2, '0')) AS c FROM task_profile, m) SELECT heap, '#FF' || c || c AS colour FROM x", P))
+@query("q_tree_color", with_sql("WITH m AS (SELECT CAST(sum(end_us - start_us) AS DOUBLE) AS total FROM task_profile), x AS (SELECT heap, (CAST(1.0 / 6.0 AS DOUBLE) + (0 - CAST(1.0 / 6.0 AS DOUBLE)) * ((end_us - start_us) / total)) * 6 AS h FROM task_profile, m) SELECT heap, 'ff' || lpad(printf('%x', CASE WHEN h >= 1 THEN 255 ELSE CAST(floor(255 * h) AS INTEGER) END), 2, '0') || '00' AS colour FROM x", P))
 def tree_color(spark, d) -> DataFrame:
+    """By each task's share of the time of all."""
     p = fx.task_profile(spark, d)
     us = F.col("end_us") - F.col("start_us")
-    return p.join(F.broadcast(p.agg(F.max(us).alias("top")))).select("heap", colour(us / F.col("top")).alias("colour"))
+    return p.join(F.broadcast(p.agg(F.sum(us).alias("total")))).select("heap", colour(us / F.col("total")).alias("colour"))
 
 
 def match_previous(ids: Column, root: str, previous: str) -> Column:

@@ -39,10 +39,10 @@ def emptiness(regions: DataFrame, keys: list[str]) -> DataFrame:
     return regions.groupBy(*keys).agg((F.sum(F.greatest(F.col("hi") - F.col("lo"), F.lit(0))) == 0).alias("empty"))
 
 
-@query("q_region_empty", with_sql("SELECT item, sum(CASE WHEN hi - 1 > lo THEN hi - 1 - lo ELSE 0 END) = 0 AS empty FROM region_a WHERE lo % 50 = 0 GROUP BY item", "region_a"))
+@query("q_region_empty", with_sql("SELECT item, sum(CASE WHEN hi - 1 > lo THEN hi - 1 - lo ELSE 0 END) = 0 AS empty FROM region_a GROUP BY item", "region_a"))
 def region_empty(spark, d) -> DataFrame:
     """Of boxes shrunk by one."""
-    return emptiness(fx.region_a(spark, d).where("lo % 50 = 0").withColumn("hi", F.col("hi") - 1), ITEM)
+    return emptiness(fx.region_a(spark, d).withColumn("hi", F.col("hi") - 1), ITEM)
 
 
 def is_subregion(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def halo(boxes: DataFrame, radius: int, dims: dict[str, tuple[int, int]]) -> Dat
     return out
 
 
-_TILES = "SELECT CAST(floor(event_id / 100) AS BIGINT) AS tile, CAST(floor(event_id / 100) AS BIGINT) % 10 * 10 AS lo_x, CAST(floor(event_id / 100) AS BIGINT) % 10 * 10 + 10 AS hi_x, CAST(floor(event_id / 1000) AS BIGINT) % 10 * 10 AS lo_y, CAST(floor(event_id / 1000) AS BIGINT) % 10 * 10 + 10 AS hi_y FROM events WHERE event_id % 100 = 0"
+_TILES = "SELECT DISTINCT CAST(floor(event_id / 100) AS BIGINT) AS tile, CAST(floor(event_id / 100) AS BIGINT) % 10 * 10 AS lo_x, CAST(floor(event_id / 100) AS BIGINT) % 10 * 10 + 10 AS hi_x, CAST(floor(event_id / 1000) AS BIGINT) % 10 * 10 AS lo_y, CAST(floor(event_id / 1000) AS BIGINT) % 10 * 10 + 10 AS hi_y FROM events"
 
 
 @query("q_region_halo", f"SELECT tile, greatest(lo_x - 2, 0) AS lo_x, least(hi_x + 2, 100) AS hi_x, greatest(lo_y - 2, 0) AS lo_y, least(hi_y + 2, 100) AS hi_y FROM ({_TILES})")

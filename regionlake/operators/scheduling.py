@@ -121,10 +121,10 @@ def assign_by_cost(costs: DataFrame, active: list[bool]) -> DataFrame:
 
 
 _REBALANCE = f"""WITH RECURSIVE {_COSTS}, tc AS (SELECT task, cost FROM mp JOIN co ON co.node = mp.node), ea AS (SELECT sum(cost) / 3 AS each FROM tc),
- r(task, at, done, goal) AS (SELECT CAST(-1 AS BIGINT), 0, CAST(0 AS DOUBLE), each FROM ea UNION ALL
-   SELECT tc.task, CASE WHEN at < 2 AND done + cost > goal THEN at + 1 ELSE at END, done + cost, CASE WHEN at < 2 AND done + cost > goal THEN goal + each ELSE goal END
+ r(task, pos, done, goal) AS (SELECT CAST(-1 AS BIGINT), 0, CAST(0 AS DOUBLE), each FROM ea UNION ALL
+   SELECT tc.task, CASE WHEN pos < 2 AND done + cost > goal THEN pos + 1 ELSE pos END, done + cost, CASE WHEN pos < 2 AND done + cost > goal THEN goal + each ELSE goal END
    FROM r JOIN tc ON tc.task = r.task + 1, ea)
- SELECT task, CAST([0, 2, 3][at + 1] AS INTEGER) AS node FROM r WHERE task >= 0"""
+ SELECT task, CAST([0, 2, 3][pos + 1] AS INTEGER) AS node FROM r WHERE task >= 0"""
 
 
 @query("q_rebalance_map", with_sql(_REBALANCE, "node_load"))
@@ -408,13 +408,23 @@ def ino_schedule(spark, d) -> DataFrame:
     return mapping.join(costs, "node").groupBy(F.lit(1).alias("one")).applyInPandas(run, "task long, node int")
 
 
-@query("q_leeway_bound", "WITH s AS (SELECT event_type AS objective, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) SELECT objective, count(*) AS samples, min(value) AS least, max(value) AS most, round(min(value) + 0.2 * (max(value) - min(value)), 6) AS bound FROM s WHERE k <= 500 GROUP BY objective")
-def leeway_bound(spark, d, leeway: float = 0.2, most: int = 500) -> DataFrame:
-    """Of each objective's last samples: what a lower objective may still cost the higher one."""
-    k = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("event_id")))
-    s = fx.table(spark, d, "events").select(F.col("event_type").alias("objective"), "value", k.alias("k")).where(F.col("k") <= most)
-    lo, hi = F.min("value"), F.max("value")
-    return s.groupBy("objective").agg(F.count(F.lit(1)).alias("samples"), lo.alias("least"), hi.alias("most"), F.round(lo + leeway * (hi - lo), 6).alias("bound"))
+#: Samples of a history beyond which it is cut, and to how many.
+HISTORY, HISTORY_CUT = 1000, 500
+
+
+@query("q_leeway_bound", "WITH c AS (SELECT event_type AS objective, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1), s AS (SELECT event_type AS objective, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) SELECT c.objective, count(*) AS samples, round(avg(value), 6) AS mean, least, most, round(least + 0.2 * (most - least), 6) AS bound FROM c JOIN s ON s.objective = c.objective AND k <= CASE WHEN n <= 1000 THEN n ELSE 500 + (n - 1001) % 501 END GROUP BY c.objective, least, most")
+def leeway_bound(spark, d, leeway: float = 0.2) -> DataFrame:
+    """Of each objective: the samples its history still holds, and what a lower objective may cost it, between
+    the least and the most that ever were. A history that grows beyond HISTORY is cut to the last HISTORY_CUT."""
+    e = fx.table(spark, d, "events").select(F.col("event_type").alias("objective"), "value", "event_id")
+    n, again = F.col("n"), HISTORY + 1 - HISTORY_CUT
+    held = F.when(n <= HISTORY, n).otherwise(HISTORY_CUT + (n - HISTORY - 1) % again)
+    whole = e.groupBy("objective").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most")).withColumn("held", held)
+    k = F.row_number().over(Window.partitionBy("objective").orderBy(F.desc("event_id")))
+    last = e.withColumn("k", k).where(F.col("k") <= HISTORY)  # ranked in part before the exchange, as at most HISTORY are kept
+    kept = last.join(F.broadcast(whole), "objective").where("k <= held")
+    bound = F.round(F.col("least") + leeway * (F.col("most") - F.col("least")), 6)
+    return kept.groupBy("objective", "least", "most").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("value"), 6).alias("mean")).select("objective", "samples", "mean", "least", "most", bound.alias("bound"))
 
 
 # ---- failures ------------------------------------------------------------------------------------
