@@ -45,7 +45,11 @@ STOP_WORDS = {
     "sv": "och i att det som en på är av för med den till inte har de ett om var jag men sig från vi så kan när han eller hade vid nu efter",
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto",
 }
-STOPS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
+#: The languages in which a word is a stop-word, as places in STOP_WORDS.
+STOPS: dict[str, tuple[int, ...]] = {}
+for _k, _words in enumerate(STOP_WORDS.values()):
+    for _w in dict.fromkeys(_words.split()):
+        STOPS[_w] = (*STOPS.get(_w, ()), _k)
 
 # Elements by what they do to blocks.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas video audio head title select option button textarea map".split())
@@ -91,6 +95,13 @@ class Block:
     named: int = 0  # the innermost open element that only a hint makes bad, 0 if there is none
     inside: int = 0  # the innermost open element that may be the page's article
     label: bool | None = None
+    share: float = -1.0  # of stop-words, when it is known
+
+    @property
+    def stops(self) -> float:
+        if self.share < 0:
+            self.share = stop_share(self.text)
+        return self.share
 
 
 class Source:
@@ -405,10 +416,14 @@ def weight(text: str) -> int:
 
 
 def stop_share(text: str) -> float:
+    """The share of stop-words of the language that has most of them."""
     words = LETTERS.findall(text.lower())
-    if not words:
-        return 0.0
-    return max(sum(w in stops for w in words) for stops in STOPS.values()) / len(words)
+    many = [0] * len(STOP_WORDS)
+    for found in map(STOPS.get, words):
+        if found:
+            for k in found:
+                many[k] += 1
+    return max(many) / len(words) if words else 0.0
 
 
 def first_pass(b: Block, listed: bool) -> bool | None:
@@ -417,7 +432,7 @@ def first_pass(b: Block, listed: bool) -> bool | None:
         return False
     if weight(b.text) < LONG:
         return None
-    if stop_share(b.text) >= STOP_SHARE or not listed and SENTENCE.search(b.text):
+    if b.stops >= STOP_SHARE or not listed and SENTENCE.search(b.text):
         return True
     return None
 
@@ -425,7 +440,7 @@ def first_pass(b: Block, listed: bool) -> bool | None:
 def has_list(found: list[Block]) -> bool:
     """Whether most of the page's long blocks are in a language of STOP_WORDS."""
     long = [b for b in found if b.linked <= LINK_SHARE * len(b.text) and weight(b.text) >= LONG]
-    known = sum(weight(b.text) for b in long if stop_share(b.text) >= STOP_SHARE)
+    known = sum(weight(b.text) for b in long if b.stops >= STOP_SHARE)
     return 2 * known >= sum(weight(b.text) for b in long)
 
 
