@@ -51,7 +51,7 @@ def loc_update(spark, d) -> DataFrame:
 def locate(requirements: DataFrame, location: DataFrame) -> DataFrame:
     """task, item, mode, rank, lo, hi: the owned parts of each requirement and their owners."""
     found = intervals.overlap_join(requirements, location, ["item"]).select("task", "item", "mode", F.col("b_rank").alias("rank"), "lo", "hi")
-    return intervals.merge(found, ["task", "item", "mode", "rank"])
+    return intervals.merge(found, ["task", "item", "mode", "rank"], intervals.width_of(location))
 
 
 @query("q_locate", with_sql(f"WITH {_LC}, {_RC}, s AS (SELECT DISTINCT task, rc.item, mode, rank, rc.c FROM rc JOIN lc ON lc.item = rc.item AND lc.c = rc.c) {_boxes('s', 'task', 'item', 'mode', 'rank')}", "location", "requirement"))
@@ -73,7 +73,8 @@ def acquire_write(requirements: DataFrame, location: DataFrame, me) -> DataFrame
     """Of read-write requirements: parts of other ranks migrate, parts of none are allocated."""
     wanted = settle(intervals.merge(requirements.where("mode = 'ReadWrite'").select(*TASK, "lo", "hi"), TASK))
     found = settle(intervals.overlap_join(wanted, location, ["item"]).select(*TASK, F.col("b_rank").alias("rank"), "lo", "hi"))
-    moved = intervals.merge(found.where(F.col("rank") != me), [*TASK, "rank"]).withColumn("kind", F.lit("migrate"))
+    width = intervals.width_of(wanted)
+    moved = intervals.merge(found.where(F.col("rank") != me), [*TASK, "rank"], width).withColumn("kind", F.lit("migrate"))
     new = intervals.difference(wanted, found.select(*TASK, "lo", "hi"), TASK)
     return moved.unionByName(new.select(*TASK, F.lit(None).cast("int").alias("rank"), "lo", "hi", F.lit("allocate").alias("kind")))
 
@@ -163,7 +164,7 @@ def transfer_plan(requirements: DataFrame, owners: DataFrame, target) -> DataFra
     pieces = cuts.withColumn("hi", F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo"))).where("hi IS NOT NULL")
     held = intervals.overlap_join(pieces, found, keys)
     each = held.groupBy(*keys, "a_lo", "a_hi").agg(F.min("b_rank").alias("rank"), F.bool_or(F.col("b_rank") == target).alias("there")).where("NOT there")
-    boxes = intervals.merge(each.select("task", "item", "mode", "rank", F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")), ["task", "item", "mode", "rank"])
+    boxes = intervals.merge(each.select("task", "item", "mode", "rank", F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")), ["task", "item", "mode", "rank"], intervals.width_of(found))
     return boxes.withColumn("kind", F.when(F.col("mode") == "ReadOnly", "Replication").otherwise("Migration"))
 
 

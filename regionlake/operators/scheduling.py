@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import heap
-from ..plans.intervals import earlier
+from ..plans.intervals import earlier_sum
 from ..plans.settle import settle
 from ..registry import query
 from ..sources import fixtures as fx
@@ -440,11 +440,11 @@ def reschedule(spark, d, dead: int = 3, ranks: int = 8) -> DataFrame:
     are not ordered in one place."""
     p = fx.task_profile(spark, d).select("heap", "locality")
     lost = p.where(F.col("locality") == dead).withColumn("_bin", F.floor(F.col("heap") / 4096).cast("long"))
-    per = earlier(lost.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")), [], {"base": ("sum", F.col("n"))})
-    k = F.coalesce("base", F.lit(0)) + F.row_number().over(Window.partitionBy("_bin").orderBy("heap")) - 1
+    per = earlier_sum(lost.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")), "n")
+    k = F.col("base") + F.row_number().over(Window.partitionBy("_bin").orderBy("heap")) - 1
     living = [r for r in range(ranks) if r != dead]
     total = lost.agg(F.count(F.lit(1)).alias("total"))  # one row
-    numbered = lost.join(per.select("_bin", "base"), "_bin").select("heap", k.alias("k")).join(F.broadcast(total))
+    numbered = lost.join(per, "_bin").select("heap", k.alias("k")).join(F.broadcast(total))
     each = F.floor(F.col("total") / len(living))
     more = F.col("total") % len(living)
     edge = more * (each + 1)
