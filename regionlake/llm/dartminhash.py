@@ -8,8 +8,10 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are joined by bands. In every band's bucket each document is held against the least one, by
 exact similarity of the shingle sets; what then is in one component is settled. Buckets that still hold
-several components are compared blockwise, pairs that the triangle inequality of the Jaccard distance
-rules out excepted. So work is linear in a group of copies, and no link that the bands find is lost.
+several components are compared blockwise: of two blocks only those pairs are, that share one of their
+rarest shingles (of sets as similar as that, the rarest fifth and one more cannot all differ), and that
+neither their sizes nor the triangle inequality of the Jaccard distance rules out. So work is linear in a
+group of copies, and no link that the bands find is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**24 = 0.00007.
 ROWS, BANDS = 5, 24
 #: Documents of a bucket in a block.
-BLOCK = 256
+BLOCK = 1024
 _CHUNK = 1 << 16
 
 
@@ -190,6 +192,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], schema=schema)
 
 
+def candidates(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of left and a later row of right that may be as similar: those that share a shingle of
+    both prefixes, where a set's shingles stand in the order of how few rows have them."""
+    rows = np.union1d(left, right)
+    size = np.array([len(sets[k]) for k in rows])
+    if not size.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, gram, many = np.unique(np.concatenate([sets[k] for k in rows]), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(rows)), size)
+    o = np.lexsort((gram, many[gram], of))
+    place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    o = o[place < (size - np.ceil(similarity * size - 1e-9) + 1)[of]]
+    gram, of = gram[o], of[o]
+    o = np.argsort(gram, kind="stable")
+    gram, of = gram[o], rows[of[o]]
+    begin = np.flatnonzero(np.diff(gram, prepend=-1))
+    found = [np.zeros(0, np.int64)]
+    in_left, in_right, n = np.isin(of, left), np.isin(of, right), len(sets)
+    for a, b in zip(begin, np.append(begin[1:], len(gram)), strict=True):
+        if b - a > 1:
+            i, j = of[a:b][in_left[a:b]], of[a:b][in_right[a:b]]
+            found.append((i[:, None] * n + j[None, :])[i[:, None] < j[None, :]] if left is right else (i[:, None] * n + j[None, :]).ravel())
+    pairs = np.unique(np.concatenate(found))
+    return pairs // n, pairs % n
+
+
 def _block(similarity: float):
     """One block of a bucket against another: links between components, as pairs of their roots."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -201,28 +229,26 @@ def _block(similarity: float):
         roots, names = names.indices.to_numpy(), names.dictionary
         sets = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
         size = np.array([len(x) for x in sets])
-        same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
         left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        parent = np.arange(len(names))
-
-        def tops() -> np.ndarray:
-            while (parent[parent] != parent).any():
-                parent[:] = parent[parent]
-            return parent
+        right = left if t.column("bi")[0].as_py() == t.column("bj")[0].as_py() else np.flatnonzero(side == 1)
+        i, j = candidates(sets, left, right, similarity)
+        near = (roots[i] != roots[j]) & (np.abs(far[i] - far[j]) <= 1 - similarity + 1e-9)
+        near &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        parent = list(range(len(names)))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
 
         a, b = [], []
-        for k, i in enumerate(left):
-            rest = right[k + 1 :] if same else right
-            top = tops()
-            near = np.abs(far[rest] - far[i]) <= 1 - similarity + 1e-9
-            near &= np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9
-            for j in rest[near & (top[roots[rest]] != top[roots[i]])]:
-                p, q = tops()[roots[i]], parent[roots[j]]
-                if p != q and jaccard(sets[i], sets[j]) >= similarity:
-                    parent[max(p, q)] = min(p, q)
-                    a.append(roots[i])
-                    b.append(roots[j])
+        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            p, q = top(roots[x]), top(roots[y])
+            if p != q and jaccard(sets[x], sets[y]) >= similarity:
+                parent[max(p, q)] = min(p, q)
+                a.append(roots[x])
+                b.append(roots[y])
         return pa.Table.from_arrays([names.take(pa.array(x, pa.int32())) for x in (a, b)], schema=schema)
 
     return run

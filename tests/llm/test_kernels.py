@@ -226,6 +226,27 @@ def test_signatures_estimate_weighted_similarity():
         assert abs((sa == sb).mean() - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.04
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_candidates_lose_no_pair(seed):
+    """Sets around a common text: all pairs of the similarity are candidates, few others are."""
+    rng = np.random.default_rng(seed)
+    common_part = rng.integers(0, 2**60, 60).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        if sets and rng.random() < 0.4:  # near another one
+            own = sets[rng.integers(len(sets))].copy()
+            own[rng.random(len(own)) < rng.choice([0.02, 0.1, 0.15])] = rng.integers(0, 2**60)
+        else:
+            own = np.concatenate([common_part[: rng.integers(0, 61)], rng.integers(0, 2**60, rng.integers(1, 50)).astype(np.uint64)])
+        sets.append(np.unique(own))
+    rows = rng.permutation(120)
+    for left, right in ((rows[:50], rows[50:]), (rows, rows)):
+        i, j = dartminhash.candidates(sets, left, right if right is not rows else left, 0.8)
+        got = {frozenset(x) for x in zip(i.tolist(), j.tolist(), strict=True)}
+        want = {frozenset((int(x), int(y))) for x in left for y in right if x != y and dartminhash.jaccard(sets[x], sets[y]) >= 0.8}
+        assert want <= got and len(want) > 5 and len(got) < len(left) * len(right) / 4
+
+
 def test_knapsack_is_best(monkeypatch):
     rng = random.Random(0)
     for _ in range(150):
