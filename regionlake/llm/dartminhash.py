@@ -255,7 +255,8 @@ def _block(similarity: float):
 
 
 def _classes(docs: DataFrame, similarity: float, size: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
-    """Every row's id and text (id, same), and the class of every text (same, class_id, rep)."""
+    """Every row's id and text (id, same), and of every text the least id of its class and which text has it
+    (same, class_id, first)."""
     spark = docs.sparkSession
     common.ship(spark)
     docs = common.slim(docs, "doc_id", "text")
@@ -294,7 +295,8 @@ def _classes(docs: DataFrame, similarity: float, size: int, rows: int, bands: in
         joined = connected(more).select(F.col("id").alias("root"), F.col("root").alias("top"))
         nodes = nodes.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
     nodes = common.settled(nodes)
-    nodes = nodes.join(nodes.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("same", "rep", "root", "class_id")
+    best = nodes.groupBy("root").agg(F.min(F.struct("rep", "same")).alias("best"))
+    nodes = nodes.join(best, "root").select("same", F.col("best.rep").alias("class_id"), F.col("best.same").alias("first"))
     return signed.select("id", "same"), nodes
 
 
@@ -324,9 +326,8 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     rows_, nodes = _classes(docs, SIMILARITY, SHINGLE, ROWS, BANDS)
     has = rows_.where("same IS NOT NULL")
-    placed = has.groupBy("id", "same").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("same", "root"), "same")
-    best = placed.groupBy("root").agg(F.min(F.struct("id", "same")).alias("best"))
-    placed = common.settled(placed.join(best, "root").withColumn("stays", (F.col("best.id") == F.col("id")) & (F.col("best.same") == F.col("same"))))
+    placed = has.groupBy("id", "same").agg(F.count(F.lit(1)).alias("n")).join(nodes, "same")
+    placed = common.settled(placed.select("id", "same", "n", ((F.col("class_id") == F.col("id")) & (F.col("first") == F.col("same"))).alias("stays")))
     lost = placed.where("NOT stays").select("id", "same")
     again = placed.where("stays AND n > 1").select("id", "same")
     rest = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("id"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"))
