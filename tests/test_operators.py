@@ -5,11 +5,13 @@ import json
 import math
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from helpers import same
 from regionlake import registry
 from regionlake.functions import tuning
 from regionlake.operators import kernels, locations, scheduling
@@ -256,3 +258,17 @@ def test_sinks(spark, tmp_path):
 def test_json_frames(spark):
     r = scheduling.framed(spark.createDataFrame([("é{}",)], "json string")).first()
     assert bytes(r["frame"]) == struct.pack(">Q", 4) + "é{}".encode()
+
+
+def test_stream_report_of_runs_without_time(spark, tmp_path):
+    """The rate of a run of no seconds is infinite, in SQL as here; null and NaN times stay what they are."""
+    inf, nan = math.inf, math.nan
+    rows = [(1, "zero", 0.0), (2, "zero", 2.0), (1, "minus", -0.0), (1, "null", None), (1, "some", None), (2, "some", 0.5), (1, "nan", nan), (10, "first", 0.0), (11, "first", 4.0), (-3, "negative", 0.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = Q["q_stream_report"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    same(got, con, registry.oracle_sql()["q_stream_report"])
+    rate = {r["kernel"]: r["best_rate"] for r in got.collect()}
+    assert rate["zero"] == inf and rate["minus"] == -inf and rate["null"] is None and rate["first"] == 0.004096
+    assert rate["some"] == 0.032768 and math.isnan(rate["nan"]) and "negative" not in rate
