@@ -635,6 +635,42 @@ def test_gradient_against_differences(sharp):
             assert abs((up - down) / 2e-5 - grad[k][at]) < 1e-4, (k, at)
 
 
+@pytest.mark.parametrize("sharp", [None, 3.0])
+def test_gradient_in_blocks_is_that_of_whole_texts(sharp, monkeypatch):
+    model, rng = small_model(2), random.Random(5)
+    texts = [b"a b c", b"", " ".join(rng.choices(["ab", "dé", "abcdefgh", "x1"], k=70)).encode(), b"d"]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    rows, first, places = model.pad(*toxicity.features(np.frombuffer(b"".join(texts), np.uint8), offs))
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    whole, touched = toxicity.gradient(model, rows, first, places, y, sharp)
+    for block in (1, 4, 33):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        got, same = toxicity.gradient(model, rows, first, places, y, sharp)
+        assert np.array_equal(touched, same) and all(np.allclose(got[k], whole[k], atol=1e-5) for k in whole)
+
+
+def test_averages_of_models_weigh_embeddings_by_their_steps():
+    rng, rows, models = np.random.default_rng(6), [], []
+    for shard in range(3):
+        adam = toxicity.Adam(toxicity._fresh(rng, 0.1))
+        adam.m2["filters"] += shard
+        times, steps = rng.integers(0, 3, toxicity.BUCKETS + 1), np.array([shard + 1])
+        models.append((adam, times, shard + 1))
+        size = toxicity.SENT
+        rows += [(b, shard, (times[b * size : (b + 1) * size] if b >= 0 else steps).tobytes(), np.stack(v).tobytes()) for b, v in toxicity._blocks(adam)]
+    rows.sort(key=lambda r: r[:2])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("block", "shard", "times", "data"), r, strict=True)) for r in rows[i : i + 4]]) for i in range(0, len(rows), 4)]
+    got = {r["block"]: r for b in toxicity._averaged(iter(batches)) for r in b.to_pylist()}
+    assert sorted(got) == list(range(-1, toxicity.BUCKETS // toxicity.SENT + 1))
+    total = sum(t for _, t, _ in models)
+    want = sum(a.model.embed * t[:, None] for a, t, _ in models) / np.maximum(total, 1)[:, None]
+    mean = np.concatenate([np.frombuffer(got[b]["data"], np.float32).reshape(3, -1, toxicity.DIM)[0] for b in range(len(got) - 1)])
+    assert np.allclose(mean[total > 0], want[total > 0], atol=1e-6)
+    rest = np.frombuffer(got[-1]["data"], np.float32).reshape(3, -1)
+    n = models[0][0].model.filters.size
+    assert np.allclose(rest[0][:n], sum(a.model.filters.ravel() * w for a, _, w in models) / 6, atol=1e-6) and np.allclose(rest[2][:n], (0 + 2 + 6) / 6)
+
+
 def test_thresholds_stay_near_the_middle_with_few_rows():
     assert toxicity.best_cut(np.array([0.1]), np.array([1.0])) == 0.5
     s = np.concatenate([np.full(50, 0.1), np.full(50, 0.3)])

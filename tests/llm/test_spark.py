@@ -1,6 +1,7 @@
 """The operators on Spark: against SQL, on odd tables, and on a hot table."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -333,6 +334,43 @@ def test_op10_odd(spark, odd, none):
     assert toxicity.fit(odd, labels, most=100).dense is not None
 
 
+def test_op10_learns_from_every_labelled_row(spark, monkeypatch):
+    """Whatever the bytes of a shard are; the model does not depend on the order of rows."""
+    rng, held = np.random.default_rng(8), lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    toxic = {i: int(rng.random() < 0.3) for i in range(1200)}
+    text = {i: " ".join([f"w{k}" for k in rng.integers(0, 200, 12)] + [f"vil{k}" for k in rng.integers(0, 40, 2 * y)]) for i, y in toxic.items()}
+    docs = spark.createDataFrame([(i, t, f"l{i % 3}") for i, t in text.items()] + [(5, "~ a larger text of the same id", "en"), (5000, "no label", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    seen, learn = [], toxicity.learn
+
+    def spied(on, *more):
+        parts = [toxicity._read(on.base, n) for n in on.names] if isinstance(on, toxicity.Shards) else [on]
+        seen.append(sorted((p.data[p.offs[i] : p.offs[i + 1]].tobytes().decode(), p.langs[i], int(p.labels[i])) for p in parts for i in range(len(p.labels))))
+        assert on.n + sum(p.valid.sum() for p in parts) == len(seen[-1])
+        return learn(on, *more)
+
+    monkeypatch.setattr(toxicity, "learn", spied)
+    whole = toxicity.fit(docs, labels)
+    one, two = toxicity.fit(docs, labels, most=20000), toxicity.fit(docs.repartition(5, F.rand(1)), labels.repartition(3), most=20000)
+    want = sorted((t, f"l{i % 3}", toxic[i]) for i, t in text.items() if not held(i))
+    assert seen == [want] * 3
+    assert all(np.array_equal(getattr(one, k), getattr(two, k)) for k in ("embed", "filters", "bias", "dense", "offset")) and one.thresholds == two.thresholds
+    for model in (whole, one):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.where("doc_id < 5000 and text not like '~%'"), model).collect()}
+        assert np.mean([(got[i] >= 0.5) == (y == 1) for i, y in toxic.items() if held(i)]) > 0.95
+
+
+def test_op10_map_of_labelled_ids_loses_none(spark, monkeypatch):
+    docs = spark.range(-3000, 60000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    known = docs.where("doc_id % 3 = 0").select("doc_id")
+    want = {r["doc_id"] for r in known.collect()}
+    for most in (1 << 27, 1 << 15):  # the second one crowded
+        monkeypatch.setattr(toxicity, "MOST_BITS", most)
+        got = {r["doc_id"] for r in toxicity._marked(docs, known).collect()}
+        assert want <= got and (most == 1 << 15 or len(got - want) < 0.1 * 42000)
+    assert toxicity._marked(docs, known.where("false")).count() == 0
+
+
 def test_op10_held_out_accuracy(spark):
     """The contract's split on sf0.01; without training the base rate would be 0.914."""
     d = "/root/testdata/sf0.01"
