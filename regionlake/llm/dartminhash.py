@@ -260,7 +260,7 @@ def _classes(docs: DataFrame, similarity: float, size: int, rows: int, bands: in
     spark = docs.sparkSession
     common.ship(spark)
     docs = common.slim(docs, "doc_id", "text")
-    signed = common.settled(docs.mapInArrow(_sign(size, rows, bands), "id long, same binary, bands array<long>"))
+    signed = common.settled(docs.mapInArrow(common.frugal(_sign(size, rows, bands)), "id long, same binary, bands array<long>"))
     # a node is a text's words; it has the least id that has it
     lead = common.settled(signed.where("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
     held = lead.select("same", F.explode("bands").alias("key"))
@@ -269,12 +269,12 @@ def _classes(docs: DataFrame, similarity: float, size: int, rows: int, bands: in
     pairs = buckets.where("same <> first").select(F.col("same").alias("a"), F.col("first").alias("b")).distinct()
     needed = lead.join(buckets.select("same").distinct(), "same", "left_semi").select(F.col("rep").alias("id"))
     texts = docs.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), "text").join(needed, "id", "left_semi").select("text")
-    sets = common.settled(texts.mapInArrow(_sets(size), "same binary, grams binary").where("same IS NOT NULL").groupBy("same").agg(F.any_value("grams").alias("grams")))
+    sets = common.settled(texts.mapInArrow(common.frugal(_sets(size)), "same binary, grams binary").where("same IS NOT NULL").groupBy("same").agg(F.any_value("grams").alias("grams")))
     checked = (
         pairs.join(sets.select(F.col("same").alias("a"), F.col("grams").alias("ga")), "a")
         .join(sets.select(F.col("same").alias("b"), F.col("grams").alias("gb")), "b")
         .select("a", "b", "ga", "gb")
-        .mapInArrow(_verify, "a binary, b binary, similarity double")
+        .mapInArrow(common.frugal(_verify), "a binary, b binary, similarity double")
     )
     checked = common.settled(checked)
     found = connected(checked.where(F.col("similarity") >= similarity).select("a", "b"))
@@ -288,7 +288,7 @@ def _classes(docs: DataFrame, similarity: float, size: int, rows: int, bands: in
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     open_ = open_.select("key", "same", "root", "far", "own", F.explode(others).alias("other"))
     open_ = open_.select("key", "same", "root", "far", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = open_.join(sets, "same").groupBy("key", "bi", "bj").applyInArrow(_block(similarity), "a binary, b binary")
+    more = open_.join(sets, "same").groupBy("key", "bi", "bj").applyInArrow(common.frugal(_block(similarity)), "a binary, b binary")
     more = common.settled(more.distinct())
     nodes = lead.select("same", "rep").join(found.withColumnRenamed("id", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     if not more.isEmpty():  # components that have become one
@@ -332,7 +332,7 @@ def clean(docs: DataFrame) -> DataFrame:
     again = placed.where("stays AND n > 1").select("id", "same")
     rest = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("id"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"))
     schema = f"same binary, text string, id long, rest {rest.schema['rest'].dataType.simpleString()}"
-    named = rest.mapInArrow(_named(rest.schema), schema).join(lost, ["id", "same"], "left_anti")
+    named = rest.mapInArrow(common.frugal(_named(rest.schema)), schema).join(lost, ["id", "same"], "left_anti")
     if not again.isEmpty():
         twice = named.join(again, ["id", "same"], "left_semi")
         # by another key than the join's, so that rows are brought together before their exchange

@@ -340,7 +340,7 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
                 keep[[i + k for k in automaton.scan(_NORMAL[data], offs)[4]]] = False
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)
 
 
 def op1(docs: DataFrame, items: DataFrame) -> DataFrame:

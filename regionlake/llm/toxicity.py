@@ -44,6 +44,8 @@ EPOCHS, FEW, LEAST = 10, 6000, 4
 #: Of EPOCHS those with averaged responses, and how sharply these average at first and more with each of them.
 SOFT, SHARP, SHARPER = 6, 1.0, 3.0
 BATCH, RATE, DROP, DECAY = 16, 0.01, 0.5, 0.01
+#: Buckets of labelled words are kept as this.
+_KEPT = np.uint16 if BUCKETS <= 1 << 16 else np.int32
 #: Bytes of text scored at a time; places of texts that are learned from at a time.
 PIECE, BLOCK = 1 << 16, 1 << 16
 #: Thresholds are of this grid.
@@ -287,13 +289,21 @@ class Texts:
     @cached_property
     def feats(self) -> tuple[np.ndarray, np.ndarray]:
         """Of the rows that set the weights."""
-        data, offs = _take(self.data, self.offs, self.own)
-        feats, bounds = [np.zeros((0, PARTS), np.int32)], [np.zeros(1, np.int64)]
-        for i, j in common.groups(offs, 1 << 20):  # bounded memory
-            f, b = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            feats.append(f)
+        feats, bounds = [np.zeros((0, PARTS), _KEPT)], [np.zeros(1, np.int64)]
+        ends = np.concatenate([[0], np.cumsum(np.diff(self.offs)[self.own])])
+        for i, j in common.groups(ends, 1 << 20):  # bounded memory
+            f, b = features(*_take(self.data, self.offs, self.own[i:j]))
+            feats.append(f.astype(_KEPT))
             bounds.append(bounds[-1][-1] + b[1:])
-        return np.concatenate(feats), np.concatenate(bounds)
+        out = np.empty((int(bounds[-1][-1]), PARTS), _KEPT)
+        feats.reverse()
+        at = 0
+        while feats:  # pieces go as they are copied
+            f = feats.pop()
+            out[at : at + len(f)] = f
+            at += len(f)
+        common.give_back(True)
+        return out, np.concatenate(bounds)
 
     def step(self, adam: Adam, epoch: int, passes: int, rng: np.random.Generator) -> np.ndarray:
         """Passes over the rows once; returned is how often each embedding was stepped."""
@@ -464,7 +474,7 @@ class Shards:
                 for k in batch.column(0).to_pylist():
                     yield from what(k, _read(base, names[k]), shared.value).to_batches()
 
-        return self.spark.range(0, len(names), 1, len(names)).mapInArrow(run, schema)
+        return self.spark.range(0, len(names), 1, len(names)).mapInArrow(common.frugal(run), schema)
 
     def step(self, adam: Adam, epoch: int, passes: int, rng: np.random.Generator) -> None:
         shared, seed = self.spark.sparkContext.broadcast(adam), self.seed
@@ -478,7 +488,7 @@ class Shards:
 
         sent = self._each(one, "block int, shard int, times binary, data binary", shared)
         parts = min(common.parts(self.spark), BUCKETS // SENT + 2)
-        got = sent.repartition(parts, "block").sortWithinPartitions("block", "shard").mapInArrow(_averaged, "block int, times binary, data binary").collect()
+        got = sent.repartition(parts, "block").sortWithinPartitions("block", "shard").mapInArrow(common.frugal(_averaged), "block int, times binary, data binary").collect()
         shared.unpersist()
         of = (vars(adam.model), adam.m1, adam.m2)
         for r in got:
@@ -562,7 +572,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SHARD_BYTES) -> Model:
     both = texts.withColumn("toxic", F.lit(None).cast("double")).unionByName(known.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"), "toxic"))
     dealt = both.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(shards, "shard")
     single = dealt.groupBy("shard", "doc_id").agg((F.max("toxic") != 0).cast("double").alias("toxic"), F.min(one).alias("one")).where("toxic IS NOT NULL AND one IS NOT NULL").select("shard", "doc_id", "toxic", "one.text", "one.lang")
-    files = single.groupBy("shard").applyInArrow(_packer(base), "shard long, name string, n long, positive long, judging long").collect()
+    files = single.groupBy("shard").applyInArrow(common.frugal(_packer(base)), "shard long, name string, n long, positive long, judging long").collect()
     files.sort(key=lambda r: r["shard"])
     model = learn(_read(base, files[0]["name"]) if len(files) == 1 else Shards(spark, base, files))
     common.remove(spark, base)
@@ -588,7 +598,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(data, offs)), batch.column(2), pa.array(cut, pa.float64())], schema=SCHEMA)
 
     with_lang = docs.withColumn("lang", F.lit(None).cast("string")) if "lang" not in docs.columns else docs
-    out = common.slim(with_lang, "doc_id", "text", "lang").mapInArrow(run, "doc_id long, score double, lang string, threshold double")
+    out = common.slim(with_lang, "doc_id", "text", "lang").mapInArrow(common.frugal(run), "doc_id long, score double, lang string, threshold double")
     return out.withColumn("flagged", F.col("score") >= F.col("threshold"))
 
 
@@ -608,7 +618,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             cut = np.array([shared.value.thresholds.get(x or "", 0.5) for x in langs])
             yield batch.filter(pa.array(s < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:

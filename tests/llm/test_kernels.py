@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import tracemalloc
 from collections import defaultdict
 from itertools import product
 
@@ -9,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from regionlake.llm import dartminhash, decontaminate, hashing, html_text, mixing, pq, queries, repeats, suffix_array, suffix_tree, tokens, toxicity, warc
+from regionlake.llm import common, dartminhash, decontaminate, hashing, html_text, mixing, pq, queries, repeats, suffix_array, suffix_tree, tokens, toxicity, warc
 
 
 def brute_bytes(docs):
@@ -671,6 +673,63 @@ def test_averages_of_models_weigh_embeddings_by_their_steps():
     assert np.allclose(rest[0][:n], sum(a.model.filters.ravel() * w for a, _, w in models) / 6, atol=1e-6) and np.allclose(rest[2][:n], (0 + 2 + 6) / 6)
 
 
+def test_labelled_words_are_kept_in_little_memory():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "gammas", "d\u00e9lta", "epsilon-x"]) for _ in range(rng.choice([0, 3, 400, 90000]))).encode() for _ in range(30)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    valid = np.arange(len(texts)) % 5 == 0
+    on = toxicity.Texts(data, offs, np.zeros(len(texts)), [""] * len(texts), valid)
+    tracemalloc.start()
+    feats, bounds = on.feats
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    want = [toxicity.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t, v in zip(texts, valid, strict=True) if not v]
+    assert (feats == np.concatenate(want)).all()
+    assert (np.diff(bounds) == [len(w) for w in want]).all()
+    cells = len(feats) * toxicity.PARTS
+    assert kept < 2.5 * cells
+    assert peak < 4.5 * cells + (48 << 20)
+
+
+def resident():
+    """MB of this process without mapped files."""
+    return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+
+def test_workers_give_back_what_they_free():
+    pins = []
+
+    def scattered():
+        held = []
+        for _ in range(2000):
+            held.append(np.ones(12500))  # 100 KB each: of the heap, between smaller pieces that stay
+            pins.append(np.ones(64))
+        return held
+
+    def batches(got):
+        for batch in got:
+            scattered()
+            yield batch
+
+    def one(t):
+        scattered()
+        return t
+
+    def two(key, t):
+        scattered()
+        return t
+
+    table = pa.table({"x": np.zeros(1 << 17)})
+    before = resident()
+    assert [len(b) for b in common.frugal(batches)(iter(table.to_batches()))] == [1 << 17]
+    assert resident() < before + 60
+    assert common.frugal(one)(table) is table
+    assert resident() < before + 60
+    assert common.frugal(two)((1,), table) is table
+    assert resident() < before + 60
+
+
 def test_thresholds_stay_near_the_middle_with_few_rows():
     assert toxicity.best_cut(np.array([0.1]), np.array([1.0])) == 0.5
     s = np.concatenate([np.full(50, 0.1), np.full(50, 0.3)])
